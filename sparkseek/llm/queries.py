@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from . import linededup, mixing, topk
+from .common import fold, read
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,47 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup_substrings
+
+    return dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k_products
+
+    return top_k_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_profiles, predict_languages
+
+    docs = read(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs, fold("doc_id", 5) != 0)
+    out = predict_languages(docs, profiles)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.removed_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op3_substring": op3_substring,
+    "op4_topk": op4_topk,
+    "op5_langid": op5_langid,
+    "op10_lines": op10_lines,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_topk": topk.SQL, "op10_lines": linededup.SQL}
