@@ -44,6 +44,36 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import edited_fingerprints
+
+    return edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit_packing
+
+    return best_fit_packing(read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn_toxicity, score_toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import THRESHOLD, learn_quality, score_quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn_quality(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    out = score_quality(docs, model, score_col="score").drop("text")
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -57,6 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring": op3_substring,
     "op4_topk": op4_topk,
     "op5_langid": op5_langid,
+    "op6_spotsigs": op6_spotsigs,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_lines": op10_lines,
 }
 
