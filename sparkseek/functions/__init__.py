@@ -1 +1 @@
-
+"""Column functions: text, regular expressions, time references, vectors."""

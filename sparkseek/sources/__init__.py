@@ -1 +1 @@
-
+"""Snapshots, publication, chunkers and the mapping of the test tables."""

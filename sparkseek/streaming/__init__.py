@@ -1 +1 @@
-
+"""Micro-batch ingest with idempotent replay."""
