@@ -82,19 +82,26 @@ def term_count(toks: Column, term: str) -> Column:
     return F.size(F.filter(toks, lambda t: t == F.lit(term)))
 
 
+def _in_a_row(toks: Column) -> Column:
+    """Tokens as one text, each between marks that no token has."""
+    return F.concat(F.lit("\1"), F.array_join(toks, "\1", "\2"), F.lit("\1"))
+
+
+def _run(words: list[str]) -> str:
+    return "\1" + "\1".join(words) + "\1"
+
+
 def phrase_count(toks: Column, words: list[str]) -> Column:
     """Number of places where the words stand one after another (overlaps count)."""
     if len(words) == 1:
         return term_count(toks, words[0])
-    n = len(words)
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.array().cast("array<int>"))
-    whole = F.array(*map(F.lit, words))
-    return F.size(F.filter(starts, lambda i: F.slice(toks, i, n) == whole))
+    return F.regexp_count(_in_a_row(toks), F.lit(f"(?={_run(words)})"))
 
 
 def has_phrase(toks: Column, words: list[str]) -> Column:
-    found = F.array_contains(toks, words[0])
-    return found if len(words) == 1 else found & (phrase_count(toks, words) > 0)
+    if len(words) == 1:
+        return F.array_contains(toks, words[0])
+    return F.contains(_in_a_row(toks), F.lit(_run(words)))
 
 
 def byte_trigrams(column: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions.text import fold, has_phrase, query_literal, query_tokens, toke
 from ..functions.timeref import parse_history_timeref
 from ..plans.ast import All, Any, Empty, Keyword, Not, Phrase, Query, Raw, positive_leaves
 from ..plans.errors import QueryError
+from ..session import checkpointed
 from ..sources.snapshot import Snapshot
 from .bm25 import Scorer
 from .paging import RECENT, page
@@ -43,36 +44,25 @@ def _condition(e, text: Column, toks: Column) -> Column:
 
 
 def reachable(commits: DataFrame, anchor: str) -> DataFrame:
-    """``(sha, committer_time_ms)`` of the anchor and all its ancestors, by a recursive query on parent edges."""
-    spark = commits.sparkSession
-    commits.select("sha", "committer_time_ms").createOrReplaceTempView("__commits")
-    commits.select("sha", F.explode("parents").alias("parent")).createOrReplaceTempView("__parents")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(sha) MAX RECURSION LEVEL 100000 AS (
-          SELECT :anchor AS sha UNION ALL SELECT p.parent FROM walk w JOIN __parents p ON p.sha = w.sha
-        )
-        SELECT DISTINCT c.sha, c.committer_time_ms FROM walk w JOIN __commits c ON c.sha = w.sha
-        """,
-        {"anchor": anchor},
-    )
-
-
-def reachable_levels(commits: DataFrame, anchor: str, most: int = 10_000) -> DataFrame:
-    """The same without repeating a commit that several paths reach: each level joins only commits not seen yet."""
-    from functools import reduce
-
-    parents = commits.select("sha", F.explode("parents").alias("parent"))
-    seen = commits.where(F.col("sha") == anchor).select("sha")
-    parts = [seen]
-    front = seen
-    for _ in range(most):
-        found = front.join(parents, "sha").select(F.col("parent").alias("sha")).distinct()
-        front = found.join(reduce(DataFrame.unionAll, parts), "sha", "left_anti").checkpoint()
-        if front.isEmpty():
+    """``(sha, committer_time_ms)`` of the anchor and all its ancestors.
+
+    Steps are doubled: after round k the walk knows all commits at fewer than
+    ``2**k`` steps, and the parent edges have become edges of ``2**k`` steps. So
+    the rounds grow with the logarithm of the history's depth, and each is
+    two equi-joins. Rounds are cut by checkpoints.
+    """
+    seen = checkpointed(commits.where(F.col("sha") == anchor).select("sha").distinct())
+    steps = commits.select("sha", F.explode("parents").alias("to")).distinct()
+    known = seen.count()
+    while known:
+        steps = checkpointed(steps)
+        seen = checkpointed(seen.unionAll(seen.join(steps, "sha").select("to")).distinct())
+        before, known = known, seen.count()
+        if known == before:
             break
-        parts.append(front)
-    return reduce(DataFrame.unionAll, parts).join(commits.select("sha", "committer_time_ms"), "sha")
+        further = steps.select(F.col("sha").alias("to"), F.col("to").alias("far"))
+        steps = steps.join(further, "to").select("sha", F.col("far").alias("to")).distinct()
+    return commits.select("sha", "committer_time_ms").join(seen, "sha", "left_semi")
 
 
 def at_time(commits: DataFrame, anchor: str, at_ms: int) -> DataFrame:

@@ -415,12 +415,12 @@ def _code_search(spark, d):
     return Engine(snapshot(spark, d), NOW_MS).code_search("idiot scum -clown", 10_000).select("repo", "path", "candidate_id")
 
 
-@_register("interval_overlap", f"""WITH s AS ({duck('symbols')}), c AS (SELECT repo, path, symbol_id AS chunk, start_line AS a, end_line AS b FROM s WHERE symbol_id % 7 = 0)
-SELECT s.symbol_id, c.chunk FROM s JOIN c ON s.path = c.path AND s.start_line <= c.b AND s.end_line >= c.a WHERE s.symbol_id % 5 = 0""")
+@_register("interval_overlap", f"""WITH s AS ({duck('symbols')})
+SELECT s.symbol_id, c.symbol_id AS chunk FROM s JOIN s c ON s.path = c.path AND s.start_line <= c.end_line AND s.end_line >= c.start_line WHERE s.local_name = 'redWidget'""")
 def _interval_overlap(spark, d):
     rows = snapshot(spark, d, "symbols").symbols
-    spans = rows.where("symbol_id % 5 = 0").select("path", "symbol_id", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    pieces = rows.where("symbol_id % 7 = 0").select("path", F.col("symbol_id").alias("chunk"), "start_line", "end_line")
+    spans = rows.where("local_name = 'redWidget'").select("path", "symbol_id", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    pieces = rows.select("path", F.col("symbol_id").alias("chunk"), "start_line", "end_line")
     return positions.span_overlaps(spans, pieces).select("symbol_id", "chunk")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .snapshot import Snapshot
 
+#: Milliseconds of a timestamp without zone that is meant as UTC, whatever the session's zone is.
+_MS = "unix_millis(cast(convert_timezone('UTC', current_timezone(), ts) as timestamp))"
 #: Text of each derived table: (Spark SQL over the base view, DuckDB SQL).
 _BOTH: dict[str, tuple[str, str, str]] = {
     "repos": (
@@ -44,9 +46,9 @@ _BOTH: dict[str, tuple[str, str, str]] = {
         "events",
         """SELECT cast(event_id as string) sha, if(event_id > 0, array(cast(event_id - if(event_id % 10 = 9, 2, 1) as string)), cast(array() as array<string>)) parents,
            concat('user', user_id) author, concat('user', user_id % 50) committer, concat(event_type, ' of item ', get_json_object(props, '$.k')) message,
-           unix_millis(ts) committer_time_ms, unix_millis(ts) author_time_ms, false is_merge FROM {t}""",
+           {ms} committer_time_ms, {ms} author_time_ms, false is_merge FROM {t}""",
         """SELECT event_id::VARCHAR AS sha, event_id AS n, event_id - CASE WHEN event_id % 10 = 9 THEN 2 ELSE 1 END AS parent, 'user' || user_id AS author,
-           'user' || user_id % 50 AS committer, event_type || ' of item ' || json_extract_string(props, '$.k') AS message, epoch_ms(ts) AS committer_time_ms FROM events""",
+           'user' || user_id % 50 AS committer, event_type || ' of item ' || json_extract_string(props, '$.k') AS message, epoch_us(ts) // 1000 AS committer_time_ms FROM events""",
     ),
     "hunks": (
         "lineitem",
@@ -118,7 +120,7 @@ def snapshot(spark: SparkSession, sf_dir: str, *names: str) -> Snapshot:
             made[name] = embeddings(spark, sf_dir)
         elif name != "chunks":
             base, text, _ = _BOTH[name]
-            made[name] = spark.sql(text.format(t="{t}"), t=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+            made[name] = spark.sql(text.format(t="{t}", ms=_MS), t=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
     return Snapshot(chunks=chunks(spark, sf_dir), **made)
 
 
