@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed as checkpointed
+
 #: A word is a maximal run of bytes other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
@@ -20,18 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
-
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids fall in fold 0 of the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -57,8 +46,25 @@ def word_slabs(text: bytes) -> Iterator[list[bytes]]:
 
 
 def hash_sample(df: DataFrame, key: str, limit: int, salt: int = 0) -> DataFrame:
-    """At most ``limit`` rows of ``df``, those of the smallest hash of ``key``; reruns agree."""
-    return df.orderBy(F.xxhash64(F.lit(salt), F.col(key)), F.col(key)).limit(limit)
+    """At most ``limit`` rows of ``df``, those of the smallest hash of ``key``; reruns agree.
+
+    Of many rows only those below a bound that leaves some two times ``limit``
+    are ordered, so that no task sends ``limit`` rows of its own.
+    """
+    unit = 1 << 40
+    rows = df.count()
+    ranked = df.withColumn("__place", F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(unit)))
+    if rows > 4 * limit:
+        ranked = ranked.where(F.col("__place") < int(unit * 2 * limit / rows))
+    return ranked.orderBy("__place", F.col(key)).limit(limit).drop("__place")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:

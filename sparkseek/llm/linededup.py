@@ -52,9 +52,10 @@ def line_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lines.groupBy("id", "print").agg(F.collect_set("line").alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, report_col: str = "line_dedup") -> DataFrame:
     """All rows and columns of ``docs`` with repeated windows' lines cut from the text,
-    and ``n_lines``, ``removed_lines`` (0 for a null text) in a struct ``line_dedup``."""
+    and ``n_lines``, ``removed_lines`` (0 for a null text) in a struct ``report_col``,
+    which takes the place of an input column of that name."""
     covered = line_repeats(docs, id_col, text_col, window)
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"))
     joined = packed.join(
@@ -62,19 +63,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").eqNullSafe(F.col("cid")) & (F.col("print") == F.col("cprint")),
         "left",
     )
+    # The lines are a column of their own: within the lambda below the text would be split again for each line.
     text = F.col("row").getField(text_col)
-    lines = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    cut = F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
+    split = joined.select("row", "covered", F.split(text, "\n", -1).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
+    cut = F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n")
     new = F.when(F.col("covered").isNull(), text).otherwise(cut)
     report = F.struct(
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("removed_lines"),
+        F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("removed_lines"),
     )
-    report = F.when(F.col("covered").isNull(), F.struct(
-        report.getField("n_lines").alias("n_lines"), F.lit(0).cast("long").alias("removed_lines"))).otherwise(report)
-    others = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(*others, report.alias("line_dedup"))
+    others = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != report_col]
+    return split.select(*others, report.alias(report_col))
 
 
 SQL = """

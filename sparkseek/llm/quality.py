@@ -6,7 +6,8 @@ The marginal that a line is good comes from a forward and a backward pass, and a
 document's quality is the mean of its lines' marginals, weighted by length.
 
 Training uses at most ``SAMPLE`` labelled documents of each class, those of the
-smallest hashes, and ``TRAIN_LINES`` lines of each; a document's label is that
+smallest hashes; of a document of over ``MOST_SEGMENTS`` segments of ``SEGMENT``
+lines, as many segments evenly spread over all of it. A document's label is that
 of all its lines. Scoring reads every line of every text; a chain of more than
 ``CHAIN`` lines is cut into chains of that length, so memory stays bounded.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample
 
-SAMPLE, TRAIN_LINES, CHAIN = 1500, 200, 4096
+SAMPLE, SEGMENT, MOST_SEGMENTS, CHAIN = 1500, 64, 8, 4096
 EPOCHS, RATE, DECAY = 80, 0.1, 1e-3
 THRESHOLD = 0.3
 
@@ -179,6 +180,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column.cast(pa.large_binary())]
 
 
+def _segments(text: bytes) -> list[bytes]:
+    """A text's segments of consecutive lines: all, or ``MOST_SEGMENTS`` evenly spread over the whole text."""
+    lines = text.split(b"\n")
+    n = -(-len(lines) // SEGMENT)
+    chosen = range(n) if n <= MOST_SEGMENTS else sorted({round(k * (n - 1) / (MOST_SEGMENTS - 1)) for k in range(MOST_SEGMENTS)})
+    return [b"\n".join(lines[k * SEGMENT : (k + 1) * SEGMENT]) for k in chosen]
+
+
 def learn_quality(
     docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE,
 ) -> Chain | None:
@@ -189,13 +198,18 @@ def learn_quality(
 
     def run(batches):
         for batch in batches:
-            heads = [b"\n".join(t.split(b"\n", TRAIN_LINES)[:TRAIN_LINES]) for t in _bytes(batch.column(1))]
-            base, _, sizes = line_features(heads)
-            starts = np.cumsum(sizes) - sizes
-            rows = [base[s : s + n].ravel().tolist() for s, n in zip(starts, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
-
-    table = texts.select("id", "text", "y").mapInArrow(run, "id long, y int, x array<double>").toArrow().sort_by("id").combine_chunks()
+            for text, i, y in zip(_bytes(batch.column(1)), batch.column(0), batch.column(2), strict=True):
+                parts = _segments(text)
+                base, _, sizes = line_features(parts)
+                ends = np.cumsum(sizes)
+                rows = [base[e - n : e].ravel().tolist() for e, n in zip(ends, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i.as_py()] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([y.as_py()] * len(parts), pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
+                    ["id", "part", "y", "x"],
+                )
+
+    table = texts.select("id", "text", "y").mapInArrow(run, "id long, part int, y int, x array<double>").toArrow()
+    table = table.sort_by([("id", "ascending"), ("part", "ascending")]).combine_chunks()
     y = table.column("y").to_numpy()
     if not (y == 1).any() or not (y == 0).any():
         return None

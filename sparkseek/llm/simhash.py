@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitslice import link_groups
-from .common import checkpointed, word_slabs
+from .common import checkpointed, free_name, word_slabs
 from .components import components
 
 SEED = 42
@@ -295,9 +295,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null cannot be named in a group and all stay. All columns are kept.
     """
     groups = near_duplicate_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    lost = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col))))
-    return kept.withColumn("__turn", turn).where((F.col("__turn") == 1) | F.col(id_col).isNull()).drop("__turn")
+    gone, turn = free_name("lost", docs.columns), free_name("turn", docs.columns)
+    lost = groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
+    copies = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col)))
+    return kept.withColumn(turn, F.row_number().over(copies)).where((F.col(turn) == 1) | F.col(id_col).isNull()).drop(turn)
