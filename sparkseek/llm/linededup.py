@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WINDOW = 3
 
 
@@ -47,7 +49,9 @@ def line_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     windows = _windows(rows, window)
     firsts = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(firsts.drop("n"), ["h1", "h2"]).where(F.col("at") > F.col("first"))
+    # Written, so that the join below has a shuffle of its own on each side and a hot window's rows can be split.
+    firsts = checkpointed(firsts.drop("n"))
+    later = windows.join(firsts, ["h1", "h2"]).where(F.col("at") > F.col("first"))
     lines = later.select("at.id", "at.print", F.explode(F.sequence(F.col("at.pos"), F.col("at.pos") + window - 1)).alias("line"))
     return lines.groupBy("id", "print").agg(F.collect_set("line").alias("covered"))
 
