@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 25
 _END = re.compile(r"[.!?]+(?=\s|$)\s*|\s*\n\s*")
 
@@ -124,7 +126,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = rows.mapInArrow(_span_rows, "h1 long, h2 long, id long, print long, s int, e int")
     place = F.struct("id", "print", "s")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = found.join(firsts.drop("n"), ["h1", "h2"]).where(place > F.col("first"))
+    # Written, so that the join below has a shuffle of its own on each side and a hot span's rows can be split.
+    firsts = checkpointed(firsts.drop("n"))
+    later = found.join(firsts, ["h1", "h2"]).where(place > F.col("first"))
     cover = later.groupBy("id", "print").agg(F.collect_set(F.struct("s", "e")).alias("cover"))
     joined = rows.join(
         cover.select(F.col("id").alias("cid"), F.col("print").alias("cprint"), "cover"),
