@@ -115,7 +115,7 @@ def _compare(planes, prints, other, query, first, end, radius, confirm, union):
 
 
 def link_groups(prints: np.ndarray, sizes: np.ndarray, radius: int, other: np.ndarray | None = None, confirm: int = 0) -> np.ndarray:
-    """Labels of the rows of consecutive groups: the first row of each one's component.
+    """Labels of the rows of consecutive groups: one row of each one's component, the same for all of it.
 
     Two rows of a group are linked if their ``prints`` differ in at most
     ``radius`` bits and, where ``other`` is given, those differ in at most

@@ -31,10 +31,10 @@ from .common import hash_sample
 POSITIVES, UNLABELLED = 3000, 12000
 #: A word is a feature if so many texts have it and its rates among positives and unlabelled texts
 #: lie so many standard deviations apart; other words only blur a small set of examples.
-LEAST_TEXTS, LEAST_DEVIATIONS = 3, 4
+LEAST_TEXTS, LEAST_DEVIATIONS = 3, 3
 EPOCHS, RATE, DECAY = 150, 0.05, 2e-3
-#: Letters of a longer word's beginning, a feature of its own: inflected and compounded words share it.
-PREFIX = 4
+#: Letters of a longer word's beginnings, features of their own: inflected and compounded words share them.
+PREFIXES = (4, 6)
 _WORD = re.compile(r"\w+")
 _SLAB = 1 << 21
 
@@ -44,7 +44,7 @@ def word_ids(text: str) -> set[int]:
     words: set[str] = set()
     for part in _parts(text):
         words.update(_WORD.findall(part.lower()))
-    words.update([w[:PREFIX] + "*" for w in words if len(w) > PREFIX])
+    words.update([w[:n] + "*" for w in words for n in PREFIXES if len(w) > n])
     return {zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words}
 
 
