@@ -44,10 +44,12 @@ def cased(column: Column, case: bool) -> Column:
 def tokens(column: Column) -> Column:
     """Tokens in order, repeats included; runs of over 256 bytes keep their place as null terms."""
     found = F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0))
-    return F.when(
-        F.exists(found, lambda t: F.octet_length(t) > TERM_BYTES),
-        F.transform(found, lambda t: F.when(F.octet_length(t) <= TERM_BYTES, t)),
-    ).otherwise(found)
+    return F.transform(found, lambda t: F.when(F.octet_length(t) <= TERM_BYTES, t))
+
+
+def token_count(column: Column) -> Column:
+    """Number of tokens, without making them."""
+    return F.regexp_count(column, F.lit(TOKEN))
 
 
 def _is_token(c: str) -> bool:
@@ -104,6 +106,14 @@ def has_phrase(toks: Column, words: list[str]) -> Column:
     return F.contains(_in_a_row(toks), F.lit(_run(words)))
 
 
+def has_words(text: Column, toks: Column, words: list[str]) -> Column:
+    """``has_phrase`` where ``toks`` are the tokens of ``text``: only texts that have all the letters are cut into tokens."""
+    near = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        near = near & F.contains(text, F.lit(w))
+    return near & has_phrase(toks, words)
+
+
 def byte_trigrams(column: Column) -> Column:
     """Distinct runs of three bytes, as hexadecimal text."""
     raw = F.hex(F.encode(column, "UTF-8"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, phrase_count, tokens
+from ..functions.text import fold, has_words, phrase_count, token_count, tokens
 
 K1, B = 1.2, 0.75
 
@@ -29,11 +29,10 @@ def term_score(tf: Column, df: Column, n: Column, length: Column, mean: Column,
     return F.when(tf > 0, w * F.lit(policy.k1 + 1) * tf / (tf + bound)).otherwise(F.lit(0.0))
 
 
-def population(docs: DataFrame, toks: str, terms: list[str]) -> DataFrame:
+def population(docs: DataFrame, text: str, toks: str, terms: list[str]) -> DataFrame:
     """One row: live documents, mean length and, for each term, the documents that have it."""
-    col = F.col(toks)
     return docs.select(
-        F.size(col).alias("length"), *[F.array_contains(col, t).cast("long").alias(f"has{i}") for i, t in enumerate(terms)]
+        token_count(F.col(text)).alias("length"), *[has_words(F.col(text), F.col(toks), [t]).cast("long").alias(f"has{i}") for i, t in enumerate(terms)]
     ).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         (F.sum("length") / F.count(F.lit(1))).alias("mean"),
@@ -48,8 +47,8 @@ class Scorer:
     once, beside the scan, and nothing is collected.
     """
 
-    def __init__(self, docs: DataFrame, toks: str, policy: Policy = Policy()):
-        self.docs, self.toks, self.policy = docs, toks, policy
+    def __init__(self, docs: DataFrame, text: str, toks: str, policy: Policy = Policy()):
+        self.docs, self.text, self.toks, self.policy = docs, text, toks, policy
         self.terms: list[str] = []
         self._stats: DataFrame | None = None
 
@@ -58,7 +57,7 @@ class Scorer:
 
     def _stat(self, name: str) -> Column:
         if self._stats is None:
-            self._stats = population(self.docs, self.toks, self.terms)
+            self._stats = population(self.docs, self.text, self.toks, self.terms)
         return self._stats.select(name).scalar()
 
     def score(self, words: list[str]) -> Column:

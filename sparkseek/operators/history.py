@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, has_phrase, query_literal, query_tokens, tokens
+from ..functions.text import fold, has_words, query_literal, query_tokens, tokens
 from ..functions.timeref import parse_history_timeref
 from ..plans.ast import All, Any, Empty, Keyword, Not, Phrase, Query, Raw, positive_leaves
 from ..plans.errors import QueryError
@@ -37,7 +37,7 @@ def _condition(e, text: Column, toks: Column) -> Column:
             out = out & p if isinstance(e, All) else out | p
         return out
     if isinstance(e, (Keyword, Phrase)):
-        return has_phrase(toks, query_tokens(e.text))
+        return has_words(text, toks, query_tokens(e.text))
     if isinstance(e, Raw):
         return F.contains(text, F.lit(query_literal(e.text)))
     raise QueryError("UNSUPPORTED_LEAF", "the history route takes words, phrases and raw text")
@@ -98,7 +98,7 @@ def search(s: Snapshot, q: Query, k: int, now_ms: int, order: str = "recency", k
         words = [e for e in positive_leaves(q.expr) if isinstance(e, (Keyword, Phrase))]
         if not words:
             raise QueryError("UNSCORABLE", "relevance needs a word or phrase that is not negated")
-        scorer = Scorer(everything, "__tokens")
+        scorer = Scorer(everything, "__text", "__tokens")
         for e in words:
             scorer.want(query_tokens(e.text))
         score = scorer.score(query_tokens(words[0].text))

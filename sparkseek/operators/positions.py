@@ -18,7 +18,8 @@ def adjacent(docs: DataFrame, toks: str, a: str, b: str, window: int = WINDOW, i
     """
     if not 1 <= window <= MOST_WINDOW:
         raise QueryError("WORK_BUDGET", f"a window is 1 to {MOST_WINDOW}")
-    places = docs.select(F.col(id_col).alias("id"), F.posexplode(toks).alias("pos", "term"))
+    both = docs.where(F.array_contains(toks, a) & F.array_contains(toks, b))
+    places = both.select(F.col(id_col).alias("id"), F.posexplode(toks).alias("pos", "term"))
     block = F.floor(F.col("pos") / F.lit(window))
     left = places.where(F.col("term") == a).select("id", F.col("pos").alias("p"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     right = places.where(F.col("term") == b).select("id", F.col("pos").alias("r"), block.alias("block"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import check_scope_regex, check_text_regex
-from ..functions.text import fold, has_phrase, query_literal, query_tokens
+from ..functions.text import fold, has_words, query_literal, query_tokens
 from ..functions.timeref import parse_timeref
 from ..operators.bm25 import Scorer
 from ..sources.snapshot import Snapshot, analysed
@@ -41,7 +41,7 @@ class Compiler:
         self.s, self.q, self.now_ms = snapshot, q, now_ms
         self.case = q.options.case
         self.base = analysed(snapshot.need("chunks"), self.case)
-        self.body, self.paths = Scorer(self.base, "__tokens"), Scorer(self.base, "__path_tokens")
+        self.body, self.paths = Scorer(self.base, "__text", "__tokens"), Scorer(self.base, "__path", "__path_tokens")
         self.flags: list[tuple[str, DataFrame, list[str]]] = []
 
     # leaves
@@ -66,7 +66,7 @@ class Compiler:
     def leaf_match(self, e, text: str = "__text", toks: str = "__tokens") -> Column:
         e = self.regexp(e)
         if isinstance(e, (Keyword, Phrase)):
-            return has_phrase(F.col(toks), query_tokens(e.text, self.case))
+            return has_words(F.col(text), F.col(toks), query_tokens(e.text, self.case))
         if isinstance(e, Raw):
             return F.contains(F.col(text), F.lit(query_literal(e.text, self.case)))
         if isinstance(e, Regex):
@@ -91,7 +91,7 @@ class Compiler:
             return F.col(flag)
         got = self.leaf_match(e)
         if lone and isinstance(self.regexp(e), Keyword):
-            got = got | has_phrase(F.col("__path_tokens"), query_tokens(e.text, self.case))
+            got = got | has_words(F.col("__path"), F.col("__path_tokens"), query_tokens(e.text, self.case))
         return got
 
     def points(self, e, lone: bool = False) -> Column:

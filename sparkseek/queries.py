@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions.text import byte_trigrams, components_column, fold, tokens, within_one_edit
+from .functions.text import byte_trigrams, components_column, fold, token_count, tokens, within_one_edit
 from .functions.vectors import hash_embed
 from .operators import bm25, dense, fusion, graph, positions
 from .operators.paging import percentiles
@@ -181,7 +181,7 @@ def _select_file_owners(spark, d):
 @_register("bm25_postings", f"WITH {CHUNKS} SELECT candidate_id, round({_bm25(['that'])} + {_bm25(['worthless'])}, 6) AS score FROM d WHERE {_has(['that'])} OR {_has(['worthless'])} ORDER BY score DESC, candidate_id LIMIT 100")
 def _bm25_postings(spark, d):
     rows = chunks(spark, d)
-    lengths = rows.select("candidate_id", F.size(tokens(fold(F.col("text")))).alias("length"))
+    lengths = rows.select("candidate_id", token_count(F.col("text")).alias("length"))
     scores = bm25.score_postings(bm25.postings(rows), lengths, ["that", "worthless"])
     return scores.select("candidate_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "candidate_id").limit(100)
 
@@ -211,7 +211,7 @@ def _overlay_text(spark, d):
     base = chunks(spark, d)
     unsaved = base.where("candidate_id % 10 = 0").withColumn("text", F.concat(F.lit("trash "), "text"))
     rows = analysed(dense.overlaid(base, unsaved, ["candidate_id"]))
-    scorer = bm25.Scorer(rows, "__tokens")
+    scorer = bm25.Scorer(rows, "__text", "__tokens")
     scorer.want(["trash"])
     hits = rows.where(F.array_contains("__tokens", "trash")).select("candidate_id", F.round(scorer.score(["trash"]), 6).alias("score"))
     return hits.orderBy(F.col("score").desc(), "candidate_id").limit(100)
