@@ -23,9 +23,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     own root do not appear. Self loops, nulls and repeated edges are ignored.
 
     Every round is two grouped minima with map-side combination and two
-    equi-joins whose large keys adaptive execution can split; no adjacency list
-    is ever gathered. Rounds are cut by checkpoints, so a lost executor costs
-    one round at most.
+    equi-joins; no adjacency list is ever gathered. The minima are written
+    before they are joined: so each side of a join has a shuffle of its own and
+    adaptive execution can split the links of a node that has very many. Rounds are
+    cut by checkpoints, so a lost executor costs one round at most.
     """
     now = checkpointed(
         edges.where(F.col("a") != F.col("b"))
@@ -40,9 +41,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        least = checkpointed(least)
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large.distinct())
+        root = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(root, "a").select(
             F.explode(
                 F.array(
