@@ -28,7 +28,7 @@ from .components import components
 SEED = 42
 #: Rows of a bucket that are compared at once; a bucket of more is cut into tiles of this size.
 TILE = 2048
-#: From so many distinct fingerprints on, buckets are keyed by two bands instead of one.
+#: From so many distinct fingerprints on, ``simhash_groups`` keys buckets by two bands instead of one; either is exact.
 TWO_BANDS_FROM = 1 << 22
 #: Rows that a Python worker gathers before it compares them.
 _GATHER = 1 << 16
@@ -95,20 +95,14 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_prints(text: bytes, shingle: int = 5, words64: int = 4) -> tuple[list[int], list[int]]:
-    """Two fingerprints of ``64 * words64`` bits: of the distinct words, and of the shingles."""
-    seen: list[np.ndarray] = []
-    wt, st, n = np.zeros((words64, 64), np.int64), np.zeros((words64, 64), np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
+def wide_print(slabs: list[np.ndarray], words64: int = 4) -> list[int]:
+    """The fingerprint of ``64 * words64`` bits of the shingles."""
+    total, n = np.zeros((words64, 64), np.int64), 0
+    for hashes in slabs:
         n += len(hashes)
         for k in range(words64):
-            st[k] += _bit_counts(_mixed(hashes, k))
-    for hashes in shingle_hashes(text, 1):
-        seen.append(np.unique(hashes))
-    distinct = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
-    for k in range(words64):
-        wt[k] = _bit_counts(_mixed(distinct, k))
-    return [_pack(2 * x > len(distinct)) for x in wt], [_pack(2 * x > n) for x in st]
+            total[k] += _bit_counts(_mixed(hashes, k))
+    return [_pack(2 * x > n) for x in total]
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -233,52 +227,69 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", text, "component_id")
 
 
-#: Of 256 bits: at a shingle similarity of 0.8 the words' fingerprints differ in about 20 and
-#: the shingles' in 39 (standard deviations 4.5 and 5.7).
-WORD_RADIUS, SHINGLE_RADIUS = 40, 50
+#: Of 256 bits, those in which the shingles' fingerprints of a link may differ.
+SHINGLE_RADIUS = 50
+#: MinHash bands and the minima in each: a pair at a Jaccard similarity of s shares none with
+#: a probability of (1 - s ** BAND_ROWS) ** BANDS, at 0.8 that is 5.3e-6 and at 0.85 6.1e-9.
+BANDS, BAND_ROWS = 40, 6
+_DRAWS = np.random.default_rng(SEED).integers(1, 1 << 64, (3, BANDS * BAND_ROWS), np.uint64)
+#: Shingles whose minima are taken at once.
+_MINIMA = 512
+
+
+def band_keys(hashes: Iterator[np.ndarray]) -> np.ndarray:
+    """The keys of the MinHash bands of a set of shingles, given in slabs."""
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    times, plus, weight = _DRAWS[0] | np.uint64(1), _DRAWS[1], _DRAWS[2] | np.uint64(1)
+    for slab in hashes:
+        for s in range(0, len(slab), _MINIMA):
+            np.minimum(least, (slab[s : s + _MINIMA, None] * times + plus).min(axis=0), out=least)
+    key = ((least ^ (least >> np.uint64(32))) * weight).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+    return _mixed(key + np.arange(BANDS, dtype=np.uint64), 1)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, keys)`` to ``(node, root)``: what bands join, directly or over others; lone nodes are left out."""
+    keyed = nodes.select("node", F.explode("keys").alias("k"))
+    least = keyed.groupBy("k").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("k", "b")
+    # Written, so that the join below has a shuffle of its own on each side and a hot key's rows can be split.
+    least = checkpointed(least)
+    roots = components(keyed.join(least, "k").select(F.col("node").alias("a"), "b"))
+    return checkpointed(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
 
 
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-    word_radius: int = WORD_RADIUS, shingle_radius: int = SHINGLE_RADIUS,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, shingle_radius: int = SHINGLE_RADIUS,
+) -> DataFrame:
     """``(doc_id, group_id)`` at a five-word-shingle similarity of about 0.8 or more.
 
     A 64-bit fingerprint at radius 3 only finds copies far closer than that, so
-    this form uses two fingerprints of 256 bits: one of the distinct words,
-    whose sixteen 16-bit bands find candidates and whose distance the
-    bit-sliced counters bound, and one of the shingles, whose distance estimates the
-    shingle similarity and confirms the link. ``group_id`` is the smallest
-    id of the component. A pair at 0.8 shares a band with a probability
-    above 0.98, and closer pairs more surely; nothing is capped.
+    candidates are what MinHash bands of the shingles join, by the same rule at every
+    size, and the distance of 256-bit fingerprints of the shingles confirms a
+    link. ``group_id`` is the smallest id of the component. Nothing is capped.
     """
 
     def run(batches):
         for batch in batches:
-            both = [wide_prints(t, shingle) for t in _texts(batch.column(1))]
-            flat = np.array([w + s for w, s in both], np.uint64).reshape(len(both), -1).view(np.int64)
-            fp = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1] or 1, dtype=np.int32), flat.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            keys, prints = [], []
+            for t in _texts(batch.column(1)):
+                slabs = list(shingle_hashes(t, shingle))
+                keys.append(band_keys(slabs))
+                prints.append(wide_print(slabs))
+            lists = []
+            for rows, n in ((keys, BANDS), (prints, 4)):
+                flat = np.array(rows, np.uint64).reshape(len(rows), n).view(np.int64)
+                lists.append(pa.ListArray.from_arrays(np.arange(0, flat.size + 1, n, dtype=np.int32), flat.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "keys", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpointed(narrow.mapInArrow(run, "doc_id long, fp array<long>"))
-    name = F.unhex(F.md5(F.concat_ws(",", F.transform("fp", lambda x: x.cast("string"))).cast("binary"))).alias("node")
-    rows = rows.select("doc_id", name, "fp")
-    prints = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"))
+    rows = checkpointed(narrow.mapInArrow(run, "doc_id long, keys array<long>, fp array<long>"))
+    name = F.unhex(F.md5(F.concat_ws(",", F.transform(F.concat("keys", "fp"), lambda x: x.cast("string"))).cast("binary"))).alias("node")
+    rows = rows.select("doc_id", name, "keys", "fp")
+    prints = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     prints = checkpointed(prints)
-    two = prints.count() >= TWO_BANDS_FROM
-    bands = [
-        F.shiftrightunsigned(F.element_at("fp", w + 1), 16 * b).bitwiseAND(F.lit(0xFFFF))
-        for w in range(4) for b in range(4)
-    ]
-    if two:
-        keys = [
-            F.shiftleft(bands[x], 16).bitwiseOR(bands[y]).bitwiseOR(F.lit((16 * x + y) << 40))
-            for x in range(16) for y in range(x)
-        ]
-    else:
-        keys = [band.bitwiseOR(F.lit(x << 40)) for x, band in enumerate(bands)]
-    edges = _forest(prints.select("node", "fp"), F.array(*keys), 4, word_radius, shingle_radius)
+    met = prints.select("node", "fp").join(_candidates(prints), "node")
+    edges = _forest(met, F.array(F.xxhash64("root")), 4, shingle_radius)
     roots = components(edges)
     placed = prints.select("node", "least_id").join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root")

@@ -98,6 +98,22 @@ def test_near_duplicates_of_five_word_shingles(docs):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_candidates_do_not_depend_on_the_size(docs, monkeypatch):
+    """One rule at every size, and one that finds pairs down to a similarity of 0.8."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):  # four changed words: 176 of 216 shingles are shared, 0.81
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        changed = list(words)
+        for j in range(4):
+            changed[20 + 40 * j + rng.randrange(20)] = f"changed{j}"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(changed))]
+    for least in (1 << 22, 1):
+        monkeypatch.setattr("sparkseek.llm.simhash.TWO_BANDS_FROM", least)
+        got = {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(docs(rows)).collect()}
+        assert got == {i: i % 100 for i, _ in rows}
+
+
 def test_one_of_each_group_stays(spark, docs, awkward):
     rows = spark.createDataFrame(
         [(1, "a b c d e f g", 7, "x"), (2, "A b c d e f g", 7, "y"), (3, "other words that stand alone", 7, "z"), (3, "other words that stand alone", 7, "z")],
