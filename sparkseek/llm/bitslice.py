@@ -57,7 +57,7 @@ def near_lanes(planes: np.ndarray, prints: np.ndarray, query: np.ndarray, word:
     return query[live], word[live], lanes[live]
 
 
-class _Union:
+class Union:
     """Smallest-index labels under union, on whole arrays of pairs."""
 
     def __init__(self, n: int):
@@ -123,7 +123,7 @@ def link_groups(prints: np.ndarray, sizes: np.ndarray, radius: int, other: np.nd
     group is first compared with a few leaders, after which pairs inside the
     largest component so far need no comparison.
     """
-    union = _Union(len(prints))
+    union = Union(len(prints))
     ends = np.cumsum(sizes)
     begins = ends - sizes
     order = np.arange(len(prints))
@@ -146,7 +146,7 @@ def link_groups(prints: np.ndarray, sizes: np.ndarray, radius: int, other: np.nd
         inside = label == values[counts.argmax()]
         order[s:e] = np.concatenate([own[~inside], own[inside]])
     moved = prints[order]
-    back = _Union(len(prints))
+    back = Union(len(prints))
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     back.add(place, place[union.label])

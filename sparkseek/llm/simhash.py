@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bitslice import link_groups
+from .bitslice import Union, link_groups
 from .common import checkpointed, free_name, word_slabs
 from .components import components
 
@@ -95,16 +95,6 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_print(slabs: list[np.ndarray], words64: int = 4) -> list[int]:
-    """The fingerprint of ``64 * words64`` bits of the shingles."""
-    total, n = np.zeros((words64, 64), np.int64), 0
-    for hashes in slabs:
-        n += len(hashes)
-        for k in range(words64):
-            total[k] += _bit_counts(_mixed(hashes, k))
-    return [_pack(2 * x > n) for x in total]
-
-
 def _texts(column: pa.Array) -> Iterator[bytes]:
     for x in column.cast(pa.large_binary()):
         yield (x.as_buffer().to_pybytes() if x.is_valid else b"")
@@ -144,6 +134,12 @@ def _linker(words: int, radius: int, confirm: int | None):
         node = table.column("node").combine_chunks()
         return pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(label[child]))], ["a", "b"])
 
+    return _by_tile(flush, _GATHER)
+
+
+def _by_tile(flush, gather: int):
+    """``flush`` over whole tiles of a sorted partition, of so many rows at least, or the last ones."""
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -152,7 +148,7 @@ def _linker(words: int, radius: int, confirm: int | None):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < _GATHER:
+            if rows < gather:
                 continue
             table = pa.Table.from_batches(held)
             keys = [table.column(c).to_numpy() for c in ("k", "i", "j")]
@@ -227,8 +223,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", text, "component_id")
 
 
-#: Of 256 bits, those in which the shingles' fingerprints of a link may differ.
-SHINGLE_RADIUS = 50
+#: Least Jaccard similarity of the shingles of a link, as a fraction.
+SHARE = (4, 5)
 #: MinHash bands and the minima in each: a pair at a Jaccard similarity of s shares none with
 #: a probability of (1 - s ** BAND_ROWS) ** BANDS, at 0.8 that is 5.3e-6 and at 0.85 6.1e-9.
 BANDS, BAND_ROWS = 40, 6
@@ -258,40 +254,126 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return checkpointed(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
 
 
-def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, shingle_radius: int = SHINGLE_RADIUS,
-) -> DataFrame:
-    """``(doc_id, group_id)`` at a five-word-shingle similarity of about 0.8 or more.
+#: Shingles of the texts of a tile, about.
+_TILE_SHINGLES = 1 << 21
+#: Rows with their shingles that a Python worker gathers before it compares them.
+_GATHER_SETS = 1 << 12
+#: Shingles of a tile that are multiplied at once.
+_COLUMNS = 2048
+
+
+def similar_pairs(sets: np.ndarray, ends: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets whose Jaccard similarity is at least ``share``, exactly; a set ends where ``ends`` says."""
+    n, sizes = len(ends), np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, counts = np.unique(sets, return_inverse=True, return_counts=True)
+    renamed = np.cumsum(counts > 1) - 1  # what only one set has is in no intersection
+    shared = counts[column] > 1
+    column, owner = renamed[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((n, n), np.int64)
+    cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + _COLUMNS, _COLUMNS)) if len(column) else []
+    for k in range(len(cuts) - 1):
+        s, e = cuts[k], cuts[k + 1]
+        has = np.zeros((n, _COLUMNS), np.float32)
+        has[owner[s:e], column[s:e] - k * _COLUMNS] = 1
+        common += (has @ has.T).astype(np.int64)
+    over, under = share
+    a, b = np.nonzero(common * (over + under) >= over * (sizes[:, None] + sizes[None, :]))
+    once = a < b
+    return a[once], b[once]
+
+
+def _link_sets(table: pa.Table) -> pa.RecordBatch:
+    """Spanning forests of the tiles, linked by the similarity of their sets."""
+    keys = [table.column(c).to_numpy() for c in ("k", "i", "j")]
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for x in keys:
+        change[1:] |= x[1:] != x[:-1]
+    starts = np.append(np.flatnonzero(change), table.num_rows)
+    lists = table.column("shingles").combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    union = Union(table.num_rows)
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        at = int(ends[s - 1]) if s else 0
+        a, b = similar_pairs(flat[at : int(ends[e - 1])], ends[s:e] - at)
+        union.add(a + s, b + s)
+    child = np.flatnonzero(union.label != np.arange(table.num_rows))
+    node = table.column("node").combine_chunks()
+    return pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(union.label[child]))], ["a", "b"])
+
+
+def _similar(met: DataFrame, tile: int = TILE, tile_shingles: int = _TILE_SHINGLES) -> DataFrame:
+    """``met(node, root, n, shingles)`` to ``edges(a, b)``: forests of the exact links among what has the same root."""
+    kind = met.schema["node"].dataType.simpleString()
+    sums = met.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"))
+    tiles = F.ceil(F.greatest(F.col("rows") / F.lit(tile), F.col("all") / F.lit(tile_shingles), F.lit(1))).cast("int")
+    placed = (
+        met.join(sums, "root")
+        .select(F.xxhash64("root").alias("k"), "node", "shingles", tiles.alias("t"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("p"))
+        .select("k", "node", "shingles", "p", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("q"))
+        .select("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "shingles")
+    )
+    dealt = placed.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return dealt.mapInArrow(_by_tile(_link_sets, _GATHER_SETS), f"a {kind}, b {kind}")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``(doc_id, group_id)`` at a five-word-shingle similarity of 0.8 or more.
 
     A 64-bit fingerprint at radius 3 only finds copies far closer than that, so
     candidates are what MinHash bands of the shingles join, by the same rule at every
-    size, and the distance of 256-bit fingerprints of the shingles confirms a
-    link. ``group_id`` is the smallest id of the component. Nothing is capped.
+    size, and the Jaccard similarity of the whole sets of shingles decides on every
+    pair of what is joined. ``group_id`` is the smallest id of the component of
+    links. Nothing is capped.
     """
 
+    def hashes(text: bytes) -> np.ndarray:
+        slabs = [np.unique(x) for x in shingle_hashes(text, shingle)]
+        return np.unique(np.concatenate(slabs)) if slabs else np.zeros(0, np.uint64)
+
     def run(batches):
-        for batch in batches:
-            keys, prints = [], []
-            for t in _texts(batch.column(1)):
-                slabs = list(shingle_hashes(t, shingle))
-                keys.append(band_keys(slabs))
-                prints.append(wide_print(slabs))
-            lists = []
-            for rows, n in ((keys, BANDS), (prints, 4)):
-                flat = np.array(rows, np.uint64).reshape(len(rows), n).view(np.int64)
-                lists.append(pa.ListArray.from_arrays(np.arange(0, flat.size + 1, n, dtype=np.int32), flat.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "keys", "fp"])
+        import xxhash
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpointed(narrow.mapInArrow(run, "doc_id long, keys array<long>, fp array<long>"))
-    name = F.unhex(F.md5(F.concat_ws(",", F.transform(F.concat("keys", "fp"), lambda x: x.cast("string"))).cast("binary"))).alias("node")
-    rows = rows.select("doc_id", name, "keys", "fp")
-    prints = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
-    prints = checkpointed(prints)
-    met = prints.select("node", "fp").join(_candidates(prints), "node")
-    edges = _forest(met, F.array(F.xxhash64("root")), 4, shingle_radius)
-    roots = components(edges)
-    placed = prints.select("node", "least_id").join(roots, "node", "left").select(
+        for batch in batches:
+            keys, names, sizes = [], [], []
+            for t in _texts(batch.column(2)):
+                own = hashes(t)
+                keys.append(band_keys([own]))
+                names.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+            flat = np.array(keys, np.uint64).reshape(len(keys), BANDS).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, BANDS, dtype=np.int32), flat.ravel())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists],
+                ["doc_id", "print", "node", "n", "keys"],
+            )
+
+    def sets(batches):
+        for batch in batches:
+            own = [hashes(t) for t in _texts(batch.column(3))]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(ends, flat)], ["node", "root", "n", "shingles"]
+            )
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("print"), text.alias("text"))
+    rows = checkpointed(narrow.mapInArrow(run, "doc_id long, print binary, node binary, n long, keys array<long>"))
+    nodes = rows.groupBy("node").agg(
+        F.min("doc_id").alias("least_id"), F.min("print").alias("print"), F.first("n").alias("n"), F.first("keys").alias("keys")
+    )
+    nodes = checkpointed(nodes)
+    met = nodes.select("node", "print", "n").join(_candidates(nodes), "node")
+    texts = narrow.groupBy("print").agg(F.first("text").alias("text"))
+    met = met.join(texts, "print").select("node", "root", "n", "text")
+    met = checkpointed(met.mapInArrow(sets, "node binary, root binary, n long, shingles array<long>"))
+    roots = components(_similar(met))
+    placed = nodes.select("node", "least_id").join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("least_id").alias("group_id"))

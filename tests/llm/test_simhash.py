@@ -7,7 +7,7 @@ import xxhash
 
 from sparkseek.llm.bitslice import link_groups
 from sparkseek.llm.components import components
-from sparkseek.llm.simhash import drop_near_duplicates, near_duplicate_groups, simhash_groups
+from sparkseek.llm.simhash import drop_near_duplicates, near_duplicate_groups, similar_pairs, simhash_groups
 
 
 def brute_print(text, shingle=3):
@@ -98,6 +98,30 @@ def test_near_duplicates_of_five_word_shingles(docs):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_links_are_exact(docs):
+    """Ten changed words leave five-word shingles alike by 0.6, five by 0.77, four by 0.81; only the last is a copy."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        changed, n = list(words), (4, 5, 10)[i % 3]
+        for j in range(n):
+            changed[10 + 200 // n * j + rng.randrange(5)] = f"changed{j}"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(changed))]
+        want |= {i: i, 100 + i: i if n == 4 else 100 + i}
+    assert {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(docs(rows)).collect()} == want
+
+
+def test_similar_pairs_agree_with_sets():
+    rng = random.Random(10)
+    sets = [set(rng.sample(range(6000), 3000)), {1, 2, 3, 4}, {1, 2, 3, 4, 5}, {2, 3, 4, 5}, set(), set()]
+    sets += [{x for x in sets[0] if rng.random() < keep} for keep in (0.79, 0.8, 0.81, 0.95, 0.96)]
+    flat = np.concatenate([np.array(sorted(x), np.int64) for x in sets])
+    got = set(zip(*(x.tolist() for x in similar_pairs(flat, np.cumsum([len(x) for x in sets]))), strict=True))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    assert got == {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
 def test_candidates_do_not_depend_on_the_size(docs, monkeypatch):
     """One rule at every size, and one that finds pairs down to a similarity of 0.8."""
     rng = random.Random(8)
