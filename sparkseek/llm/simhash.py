@@ -100,6 +100,11 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield (x.as_buffer().to_pybytes() if x.is_valid else b"")
 
 
+def _text_print(text_col: str) -> Column:
+    """A text's MD5; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -322,13 +327,14 @@ def _similar(met: DataFrame, tile: int = TILE, tile_shingles: int = _TILE_SHINGL
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(doc_id, group_id)`` at a five-word-shingle similarity of 0.8 or more.
+    """``(doc_id, print, group_id, group_print)`` at a five-word-shingle similarity of 0.8 or more.
 
     A 64-bit fingerprint at radius 3 only finds copies far closer than that, so
     candidates are what MinHash bands of the shingles join, by the same rule at every
     size, and the Jaccard similarity of the whole sets of shingles decides on every
     pair of what is joined. ``group_id`` is the smallest id of the component of
-    links. Nothing is capped.
+    links. A row is named by its id and the ``print`` of its text, and so is the
+    first of its group: ids may clash. Nothing is capped.
     """
 
     def hashes(text: bytes) -> np.ndarray:
@@ -362,34 +368,34 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("print"), text.alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_print(text_col).alias("print"), text.alias("text"))
     rows = checkpointed(narrow.mapInArrow(run, "doc_id long, print binary, node binary, n long, keys array<long>"))
     nodes = rows.groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.min("print").alias("print"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "print")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
     nodes = checkpointed(nodes)
-    met = nodes.select("node", "print", "n").join(_candidates(nodes), "node")
+    met = nodes.select("node", "least.print", "n").join(_candidates(nodes), "node")
     texts = narrow.groupBy("print").agg(F.first("text").alias("text"))
     met = met.join(texts, "print").select("node", "root", "n", "text")
     met = checkpointed(met.mapInArrow(sets, "node binary, root binary, n long, shingles array<long>"))
     roots = components(_similar(met))
-    placed = nodes.select("node", "least_id").join(roots, "node", "left").select(
-        "node", "least_id", F.coalesce("root", "node").alias("root")
-    )
-    least = placed.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    named = placed.join(least, "root").select("node", "group_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
+    placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = placed.groupBy("root").agg(F.min("least").alias("first"))
+    named = placed.join(first, "root").select("node", F.col("first.doc_id").alias("group_id"), F.col("first.print").alias("group_print"))
+    return rows.select("doc_id", "print", "node").join(named, "node").select("doc_id", "print", "group_id", "group_print")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the smallest id stays.
 
-    Repeated rows of one id count as copies of each other. Rows whose id is
-    null cannot be named in a group and all stay. All columns are kept.
+    Of rows that repeat an id and text one stays; rows of one id with different texts are
+    different documents. Rows whose id is null all stay. All columns are kept.
     """
     groups = near_duplicate_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone, turn = free_name("lost", docs.columns), free_name("turn", docs.columns)
-    lost = groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
-    copies = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col)))
-    return kept.withColumn(turn, F.row_number().over(copies)).where((F.col(turn) == 1) | F.col(id_col).isNull()).drop(turn)
+    gone, text, own, turn = (free_name(x, docs.columns) for x in ("lost", "lost_print", "own_print", "turn"))
+    copies = groups.where("doc_id <> group_id or print <> group_print")
+    lost = copies.select(F.col("doc_id").alias(gone), F.col("print").alias(text)).distinct()
+    named = docs.withColumn(own, _text_print(text_col))
+    kept = named.join(lost, (F.col(id_col) == F.col(gone)) & (F.col(own) == F.col(text)), "left_anti")
+    repeats = Window.partitionBy(F.col(id_col), F.col(own)).orderBy(F.col(own))
+    return kept.withColumn(turn, F.row_number().over(repeats)).where((F.col(turn) == 1) | F.col(id_col).isNull()).drop(turn, own)

@@ -150,3 +150,8 @@ def test_one_of_each_group_stays(spark, docs, awkward):
     assert ids.count(None) == 2 and 7 in ids and 9 in ids and 5 not in ids
     assert drop_near_duplicates(docs([])).count() == 0
     assert simhash_groups(docs([])).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(docs):
+    rows = [(1, "a b c d e f g"), (2, "other words that stand alone"), (2, "A b c d e f g"), (3, "one text"), (3, "another text"), (3, "one text")]
+    assert sorted(r[:2] for r in drop_near_duplicates(docs(rows)).collect()) == [rows[0], rows[1], rows[4], rows[3]]
