@@ -1,8 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
-From every sentence a span runs over the next ones until it has at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; a single sentence of
-``LONG_SENTENCE`` words is a span by itself. Spans are hashed to 128 bits and
+From every sentence a span runs over the next ones, and another over the ones
+before it, until it has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS``
+words: so the spans inside a run of so many sentences and words cover all of it.
+A single sentence of ``LONG_SENTENCE`` words is a span by itself. Spans are hashed to 128 bits and
 joined globally; sentences that a non-first occurrence covers are removed. The
 first occurrence has the smallest (doc_id, position).
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 25
+MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 8, 25
 _END = re.compile(r"[.!?]+(?=\s|$)\s*|\s*\n\s*")
 
 
@@ -51,18 +52,27 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
     sizes = [len(w) for w in words]
     joined = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
     n, j, total = len(cuts), 0, 0
+    runs: set[tuple[int, int]] = set()
     for i in range(n):
         if sizes[i] >= long_sentence:
-            x = xxhash.xxh3_128_intdigest(joined[i])
-            yield x >> 64, x & 0xFFFFFFFFFFFFFFFF, cuts[i][0], cuts[i][1]
+            runs.add((i, i + 1))
         while j < n and (j - i < min_sentences or total < min_words):
             total += sizes[j]
             j += 1
-        if j - i < min_sentences or total < min_words:
-            continue
+        if j - i >= min_sentences and total >= min_words:
+            runs.add((i, j))
+        total -= sizes[i]
+    i, total = n, 0
+    for j in range(n, 0, -1):
+        while i > 0 and (j - i < min_sentences or total < min_words):
+            i -= 1
+            total += sizes[i]
+        if j - i >= min_sentences and total >= min_words:
+            runs.add((i, j))
+        total -= sizes[j - 1]
+    for i, j in sorted(runs):
         x = xxhash.xxh3_128_intdigest(b"\n".join(joined[i:j]))
         yield x >> 64, x & 0xFFFFFFFFFFFFFFFF, cuts[i][0], cuts[j - 1][1]
-        total -= sizes[i]
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -52,3 +52,11 @@ def test_columns_and_empty_table(docs):
     assert got[2]["removed_sentences"] == 2 and got[2]["removed_chars"] == len(passage)
     assert [(x["s"], x["e"]) for x in got[2]["removed_spans"]] == [(11, 11 + len(passage))]
     assert dedup_substrings(docs([])).count() == 0
+
+
+def test_short_runs_and_the_end_of_a_passage(docs):
+    """Eight words in two sentences are a run, and a passage's short last sentences belong to it."""
+    short, ends = "six words are in this one. two more. ", "here is a passage of some words. its end. goes. "
+    rows = [(1, f"{short}Then one goes on. {ends}Nothing more."), (2, f"Before. {short}Between. {ends}After it all."), (3, None)]
+    got = {r["doc_id"]: r["text"] for r in dedup_substrings(docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Before. Between. After it all.", 3: None}
