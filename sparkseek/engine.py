@@ -102,6 +102,12 @@ class Engine:
             out = out.join(self.s.need("owners").select("repo", "path", "owners"), ["repo", "path"], "left")
         return out
 
+    def matches(self, text: str | Query, syntax: str = "lq") -> DataFrame:
+        """Every row that matches, in no order: a scope for joins, not a page."""
+        q, clash = self.plan(text, syntax)
+        rows = self._lexical_rows(q)
+        return rows.limit(0) if clash else rows
+
     def count(self, text: str | Query, syntax: str = "lq") -> DataFrame:
         """One row: the exact total of matching rows or groups."""
         q, clash = self.plan(text, syntax)
@@ -181,8 +187,12 @@ class Engine:
         return runtime.search(self.s, self.plan(text)[0], k, self.now_ms, after)
 
     def structural(self, text: str, k: int = DEFAULT_COUNT) -> DataFrame:
-        """Blocks joined by AND, OR and NOT on one candidate with consistent bindings; words admit candidates."""
+        """A page of ``structural_rows`` by candidate."""
         check_top_k(k)
+        return self.structural_rows(text).orderBy("candidate_id").limit(k)
+
+    def structural_rows(self, text: str) -> DataFrame:
+        """Blocks joined by AND, OR and NOT on one candidate with consistent bindings; words admit candidates."""
         q, _ = self.plan(text)
         nodes = self.s.need("nodes")
 
@@ -210,7 +220,7 @@ class Engine:
                 return out
             raise QueryError("UNSUPPORTED_LEAF", "the structural route needs a match block")
 
-        return structural.projected(rows(q.expr)).orderBy("candidate_id").limit(k)
+        return structural.projected(rows(q.expr))
 
     def repo_map(self, text: str, k: int = 50, budget: int = 4096, focus: list[str] = (), focus_paths: list[str] = ()) -> DataFrame:
         return graph.repo_map(self.s.need("entries"), text, k, budget, focus, focus_paths)

@@ -77,13 +77,18 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def code_search(s: Snapshot, text: str, k: int) -> DataFrame:
+    """The best ``k`` of ``code_search_rows``."""
+    check_top_k(k)
+    return code_search_rows(s, text).orderBy(F.col("score").desc(), "repo", "path").limit(k)
+
+
+def code_search_rows(s: Snapshot, text: str) -> DataFrame:
     """Files in which every term stands, in the text or the path, with the components of their score.
 
     A whole-token match in its own case scores ``100 + 5 + 2 * (occurrences - 1)``:
     16-point boundaries lie under the fixed 100 of the best place. What lies beyond
     that case is this library's own choice and documented as such.
     """
-    check_top_k(k)
     want = CodeSearch(text)
     from ..plans.compile import Compiler
 
@@ -126,7 +131,7 @@ def code_search(s: Snapshot, text: str, k: int) -> DataFrame:
         exact.cast("long").alias("exact_case"), F.lit(0).cast("long").alias("proximity"),
     )
     out = out.withColumn("score", F.col("boundary_and_path") + F.col("occurrence") + F.col("exact_case") + F.col("proximity"))
-    return out.orderBy(F.col("score").desc(), "repo", "path").limit(k)
+    return out
 
 
 def with_typo_fallback(s: Snapshot, text: str, k: int) -> DataFrame:

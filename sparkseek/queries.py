@@ -12,6 +12,7 @@ from .functions.text import byte_trigrams, components_column, fold, token_count,
 from .functions.vectors import hash_embed
 from .operators import bm25, dense, fusion, graph, positions
 from .operators.paging import percentiles
+from .operators.symbols import code_search_rows
 from .sources.catalog import path_inventory, scope_delta, source_diff
 from .sources.chunkers import fixed_windows
 from .sources.snapshot import analysed
@@ -247,7 +248,7 @@ def _dense_best(spark, d):
 
 @_register("dense_scoped", _DENSE + "SELECT candidate_id, score FROM s WHERE candidate_id IN (SELECT candidate_id FROM d WHERE contains(f, 'ndthe')) ORDER BY score DESC, path, candidate_id LIMIT 20")
 def _dense_scoped(spark, d):
-    scope = Engine(snapshot(spark, d), NOW_MS).lexical("'ndthe'", 10_000)
+    scope = Engine(snapshot(spark, d), NOW_MS).matches("'ndthe'")
     return dense.scoped_top_k(embeddings(spark, d), scope, _query_vector(spark, d), 20, digits=6).select("candidate_id", "score")
 
 
@@ -412,7 +413,7 @@ def _typo(spark, d):
 
 @_register("code_search_files", f"WITH {CHUNKS} SELECT repo, path, candidate_id FROM d WHERE contains(f, 'idiot') AND contains(f, 'scum') AND NOT contains(f, 'clown') AND NOT contains(lower(path), 'clown')")
 def _code_search(spark, d):
-    return Engine(snapshot(spark, d), NOW_MS).code_search("idiot scum -clown", 10_000).select("repo", "path", "candidate_id")
+    return code_search_rows(snapshot(spark, d), "idiot scum -clown").select("repo", "path", "candidate_id")
 
 
 @_register("interval_overlap", f"""WITH s AS ({duck('symbols')})
@@ -429,12 +430,12 @@ def _interval_overlap(spark, d):
 @_register("structural_adjacent", """WITH m AS (SELECT a.conv_id AS candidate_id, a.turn AS start, b.turn + 1 AS "end" FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
 WHERE a.role = 'user' AND b.role = 'assistant') SELECT candidate_id, min(start) AS start, arg_min("end", start) AS "end" FROM m GROUP BY 1""")
 def _structural_adjacent(spark, d):
-    return Engine(snapshot(spark, d, "nodes"), NOW_MS).structural("match{ user assistant }", 10_000).select("candidate_id", "start", "end")
+    return Engine(snapshot(spark, d, "nodes"), NOW_MS).structural_rows("match{ user assistant }").select("candidate_id", "start", "end")
 
 
 @_register("structural_bindings")
 def _structural_bindings(spark, d):
-    rows = Engine(snapshot(spark, d, "nodes"), NOW_MS).structural("match{ user $x } AND match{ $x ... user }", 10_000)
+    rows = Engine(snapshot(spark, d, "nodes"), NOW_MS).structural_rows("match{ user $x } AND match{ $x ... user }")
     return rows.select("candidate_id", "start", "end", F.to_json("bindings").alias("bindings"))
 
 

@@ -48,3 +48,9 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["dense_scoped", "structural_adjacent", "structural_bindings", "code_search_files"])
+def test_sets_that_the_sql_leaves_whole_have_no_limit(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().analyzed().toString()
+    assert "Limit 10000" not in plan
