@@ -126,11 +126,10 @@ def test_candidates_do_not_depend_on_the_size(docs, monkeypatch):
     """One rule at every size, and one that finds pairs down to a similarity of 0.8."""
     rng = random.Random(8)
     rows = []
-    for i in range(60):  # four changed words: 176 of 216 shingles are shared, 0.81
-        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
-        changed = list(words)
-        for j in range(4):
-            changed[20 + 40 * j + rng.randrange(20)] = f"changed{j}"
+    for i in range(60):  # 17 changed words in a row: 175 of 217 shingles are shared, 0.806
+        words = [f"w{i}_{j}" for j in range(200)]
+        at = 20 + rng.randrange(140)
+        changed = [*words[:at], *(f"changed{i}_{j}" for j in range(17)), *words[at + 17 :]]
         rows += [(i, " ".join(words)), (100 + i, " ".join(changed))]
     for least in (1 << 22, 1):
         monkeypatch.setattr("sparkseek.llm.simhash.TWO_BANDS_FROM", least)
