@@ -3,11 +3,12 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.llm.common import fold, hash_sample
 from sparkseek.llm.quality import SEGMENT, _segments, forward_backward, learn_quality, line_features, score_quality
 from sparkseek.llm.queries import op8_toxicity, op9_quality
-from sparkseek.llm.toxicity import Linear, fit_nnpu, learn_toxicity, score_toxicity, word_ids
+from sparkseek.llm.toxicity import Linear, _mark, _ratio, features, fit_nnpu, learn_toxicity, score_toxicity, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,10 +88,46 @@ def test_nnpu_learns_from_positives_and_unlabelled():
     rng = np.random.default_rng(2)
     texts = ["vile " + " ".join(f"w{rng.integers(50)}" for _ in range(8)) if i % 4 == 0 else " ".join(f"w{rng.integers(50)}" for _ in range(8)) for i in range(800)]
     positive = np.array([i % 4 == 0 and i % 8 == 0 for i in range(800)])  # half of the toxic texts are confirmed
-    model = fit_nnpu([np.array(sorted(word_ids(t))) for t in texts], positive, prior=0.25)
-    scores = np.array([model.score(t) for t in texts])
+    names = sorted(set().union(*map(words, texts)))
+    rows = [[names.index(w) for w in sorted(words(t))] for t in texts]
+    w, b = fit_nnpu(rows, positive, len(names), prior=0.25)
+    scores = np.array([1 / (1 + np.exp(-(b + w[r].sum()))) for r in rows])
     truth = np.array([i % 4 == 0 for i in range(800)])
-    assert scores[truth].min() > scores[~truth].max() and scores[truth].min() >= 0.3 > scores[~truth].max()
+    assert (w >= 0).all() and scores[truth].min() > scores[~truth].max() and scores[truth].min() >= 0.3
+
+
+def test_toxicity_finds_held_out_and_lone_words(spark):
+    """At the threshold: most held-out toxic texts, few others, and clean texts into which one known word or a new form of it is put."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = learn_toxicity(docs, labels, fold("doc_id", 4) != 2)
+    held = docs.join(labels.where(fold("doc_id", 4) == 2), "doc_id").select("doc_id", "text", "toxic", "lang")
+    scores = held.select("doc_id", "toxic", "lang", "text").toPandas()
+    scores["score"] = [model.score(t) for t in scores["text"]]
+    toxic, clean = scores[scores["toxic"] == 1], scores[scores["toxic"] == 0]
+    assert (toxic["score"] >= 0.3).mean() >= 0.85 and (clean["score"] < 0.3).mean() >= 0.96
+    lone = clean[(clean["lang"] == "en") & (clean["score"] < 0.3)]["text"].head(100)
+    assert np.mean([model.score(t[: len(t) // 2] + " idiot " + t[len(t) // 2 :]) >= 0.3 for t in lone]) >= 0.98
+    sample = score_toxicity(docs.limit(200), model).toPandas().merge(docs.limit(200).toPandas(), on="doc_id")
+    assert np.allclose(sample["score"], [model.score(t) for t in sample["text"]])
+
+
+def test_toxicity_features_and_marks(spark):
+    assert features("abc") == ["abc"] and features("abcde") == ["abcde", "abc*", "abcd*"]
+    assert len(features("x" * 1000)[0]) == 33 and words("A b\nA " + "c " * 3_000_000) == {"a", "b", "c"}
+    long = " ".join(f"w{i}" for i in range(600_000))
+    assert _mark("") != _mark("one") and _mark(long) == min(_mark(long[:2_500_000]), _mark(long[2_400_000:]))
+    ratio = spark.range(1).select(_ratio(F.lit(10), F.lit(10), 100, 100).alias("x"), _ratio(F.lit(30), F.lit(0), 100, 100).alias("y")).first()
+    want = 2 * (30 * np.log(30 / 15) + 70 * np.log(70 / 85) + 100 * np.log(100 / 85))
+    assert abs(ratio["x"]) < 1e-9 and abs(ratio["y"] - want) < 1e-9
+
+
+def test_toxicity_ignores_columns_with_clashing_names(spark, docs, awkward):
+    labels = spark.createDataFrame([(4, 1), (5, 1), (6, 0)], "doc_id long, toxic int")
+    frame = docs(awkward)
+    names = ["id", "positive", "y", "f", "a", "c", "g", "mark", "found", "score", "place", "__place"]
+    more = frame.select("*", *[F.lit(1).alias(n) for n in names])
+    one, two = (sorted(score_toxicity(x, learn_toxicity(x, labels, fold("doc_id", 4) >= 0)).collect(), key=str) for x in (frame, more))
+    assert one == two
 
 
 def test_hash_sample_is_bounded_and_repeatable(spark):
