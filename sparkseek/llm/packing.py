@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import arrow_map, word_count
 
 CAPACITY = 2048
 #: Documents in a shard, about.
@@ -121,6 +121,7 @@ def best_fit_packing(
     shards = max(1, -(-docs.select(F.lit(1)).count() // SHARD_ROWS))
     dealt = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "cluster"), F.lit(shards)))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.select("shard", "doc_id", "size", "source", "cluster", "copy").mapInArrow(
-        _pack_shards(capacity), "doc_id long, copy long, piece int, words long, bin_id long, bin_words long, bin_documents int"
+    return arrow_map(
+        dealt.select("shard", "doc_id", "size", "source", "cluster", "copy"),
+        _pack_shards(capacity), "doc_id long, copy long, piece int, words long, bin_id long, bin_words long, bin_documents int",
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import arrow_map, hash_sample
 
 SAMPLE, SEGMENT, MOST_SEGMENTS, CHAIN = 1500, 64, 8, 4096
 EPOCHS, RATE, DECAY = 80, 0.1, 1e-3
@@ -208,7 +208,7 @@ def learn_quality(
                     ["id", "part", "y", "x"],
                 )
 
-    table = texts.select("id", "text", "y").mapInArrow(run, "id long, part int, y int, x array<double>").toArrow()
+    table = arrow_map(texts.select("id", "text", "y"), run, "id long, part int, y int, x array<double>").toArrow()
     table = table.sort_by([("id", "ascending"), ("part", "ascending")]).combine_chunks()
     y = table.column("y").to_numpy()
     if not (y == 1).any() or not (y == 0).any():
@@ -238,4 +238,4 @@ def score_quality(docs: DataFrame, model: Chain | None, text_col: str = "text",
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitslice import Union, link_groups
-from .common import checkpointed, free_name, word_slabs
+from .common import arrow_map, checkpointed, free_name, word_slabs
 from .components import components
 
 SEED = 42
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(narrow, run, "doc_id long, fp long")
 
 
 def _linker(words: int, radius: int, confirm: int | None):
@@ -184,7 +184,7 @@ def _forest(nodes: DataFrame, keys: Column, words: int, radius: int, confirm: in
         .select("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "fp")
     )
     dealt = placed.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInArrow(_linker(words, radius, confirm), f"a {kind}, b {kind}")
+    return arrow_map(dealt, _linker(words, radius, confirm), f"a {kind}, b {kind}")
 
 
 def _narrow_keys(fp: Column, two: bool) -> Column:
@@ -323,7 +323,7 @@ def _similar(met: DataFrame, tile: int = TILE, tile_shingles: int = _TILE_SHINGL
         .select("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "shingles")
     )
     dealt = placed.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInArrow(_by_tile(_link_sets, _GATHER_SETS), f"a {kind}, b {kind}")
+    return arrow_map(dealt, _by_tile(_link_sets, _GATHER_SETS), f"a {kind}, b {kind}")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -369,7 +369,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_print(text_col).alias("print"), text.alias("text"))
-    rows = checkpointed(narrow.mapInArrow(run, "doc_id long, print binary, node binary, n long, keys array<long>"))
+    rows = checkpointed(arrow_map(narrow, run, "doc_id long, print binary, node binary, n long, keys array<long>"))
     nodes = rows.groupBy("node").agg(
         F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "print")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
@@ -377,7 +377,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     met = nodes.select("node", "least.print", "n").join(_candidates(nodes), "node")
     texts = narrow.groupBy("print").agg(F.first("text").alias("text"))
     met = met.join(texts, "print").select("node", "root", "n", "text")
-    met = checkpointed(met.mapInArrow(sets, "node binary, root binary, n long, shingles array<long>"))
+    met = checkpointed(arrow_map(met, sets, "node binary, root binary, n long, shingles array<long>"))
     roots = components(_similar(met))
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min("least").alias("first"))

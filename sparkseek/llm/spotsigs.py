@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import arrow_map, checkpointed
 
 CHAIN = 2
 ANCHORS = frozenset(
@@ -178,8 +178,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = F.when(first, F.array(own, F.struct(before.alias("at"), F.lit(1).alias("tail")))).otherwise(F.array(own))
     dealt = rows.select(F.explode(places).alias("place"), "key", "doc_id", "text").select("place.at", "place.tail", "key", "doc_id", "text")
     dealt = dealt.repartition(max(1, len(bounds)), "at").sortWithinPartitions("at", "tail", F.col("key").desc(), "text")
-    return dealt.select("at", "tail", "doc_id", "text").mapInArrow(
-        _walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return arrow_map(
+        dealt.select("at", "tail", "doc_id", "text"),
+        _walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
 
 
@@ -203,7 +204,7 @@ def spotsigs_pairs(docs: DataFrame, tau: float = 0.8, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sigs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = checkpointed(rows.mapInArrow(run, "doc_id long, sigs array<long>"))
+    rows = checkpointed(arrow_map(rows, run, "doc_id long, sigs array<long>"))
     name = F.sha2(F.concat_ws(",", F.transform("sigs", lambda x: x.cast("string"))), 256)
     named = rows.select("doc_id", name.alias("name"), "sigs")
     reps = checkpointed(named.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import arrow_map, checkpointed
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 8, 25
 _END = re.compile(r"[.!?]+(?=\s|$)\s*|\s*\n\s*")
@@ -133,7 +133,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).cast("string").alias("text")
     )
-    found = rows.mapInArrow(_span_rows, "h1 long, h2 long, id long, print long, s int, e int")
+    found = arrow_map(rows, _span_rows, "h1 long, h2 long, id long, print long, s int, e int")
     place = F.struct("id", "print", "s")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written, so that the join below has a shuffle of its own on each side and a hot span's rows can be split.
@@ -145,6 +145,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("id").eqNullSafe(F.col("cid")) & (F.col("print") == F.col("cprint")),
         "left",
     )
-    return joined.select("id", "text", "cover").mapInArrow(
-        _cut, "doc_id long, text string, removed_sentences int, removed_chars long, removed_spans array<struct<s:int,e:int>>"
+    return arrow_map(
+        joined.select("id", "text", "cover"),
+        _cut, "doc_id long, text string, removed_sentences int, removed_chars long, removed_spans array<struct<s:int,e:int>>",
     )

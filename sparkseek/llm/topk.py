@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 SCALE = 1024
 QUERY_BLOCK = 4096
 BUCKET = 1024
@@ -179,7 +181,7 @@ def top_k_products(
                 q, i, s = x.pool
                 yield pa.RecordBatch.from_arrays([pa.array(x.ids[q]), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
+        parts.append(arrow_map(rows, run, "query_id long, vec_id long, score long"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash_sample
+from .common import arrow_map, checkpointed, hash_sample
 
 #: Bounds on the training rows.
 POSITIVES, UNLABELLED = 3000, 20_000
@@ -55,7 +55,7 @@ PREFIXES = range(3, 10)
 _WORD = re.compile(r"\w+")
 _SLAB = 1 << 21
 #: Longer words are features by digest; words whose features a worker remembers; counts that it gathers.
-_LONG, _REMEMBERED, _GATHER = 64, 200_000, 300_000
+_LONG, _REMEMBERED, _GATHER = 64, 100_000, 200_000
 
 
 def words(text: str) -> set[str]:
@@ -179,7 +179,7 @@ def _training_texts(docs: DataFrame, told: DataFrame, learns: Column, id_col: st
             marks = pa.array([_mark(_string(t)) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks], ["id", "positive", "mark"])
 
-    marked = texts.mapInArrow(run, "id long, positive boolean, mark long")
+    marked = arrow_map(texts, run, "id long, positive boolean, mark long")
     firsts = checkpointed(marked.groupBy("positive", "mark").agg(F.min("id").alias("id")).select("id", "positive").distinct())
     return texts.join(F.broadcast(firsts), ["id", "positive"]).select("id", "positive", "text")
 
@@ -207,7 +207,7 @@ def _counts(texts: DataFrame) -> DataFrame:
         if a or c:
             yield out()
 
-    return texts.mapInArrow(run, "f string, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    return arrow_map(texts, run, "f string, a long, c long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
 
 
 def _ratio(a: Column, c: Column, np_: int, nu: int) -> Column:
@@ -246,7 +246,7 @@ def learn_toxicity(
             found = [sorted(probe.present(_string(t))) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["id", "positive", "found"])
 
-    table = texts.mapInArrow(run, "id long, positive boolean, found array<string>").toArrow().sort_by([("id", "ascending"), ("positive", "ascending")])
+    table = arrow_map(texts, run, "id long, positive boolean, found array<string>").toArrow().sort_by([("id", "ascending"), ("positive", "ascending")])
     sets = table.column("found").to_pylist()
     place = _columns(kept, sets)
     rows = [sorted({place[f] for f in s if f in place}) for s in sets]
@@ -277,4 +277,4 @@ def score_toxicity(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(_string(t)) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return arrow_map(rows, run, "doc_id long, score double")
