@@ -11,20 +11,24 @@ a bound.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0;
 without learnt languages so are all; a text of one or two letters has its
-trigrams with the space around it; repeated rows are predicted alike; other
-columns are ignored.
+trigrams with the space around it; an empty table gives an empty result; repeated
+rows are predicted alike; equal cosines go to the name that sorts first; a very long
+text is counted in pieces that overlap, so that each trigram counts once, with memory
+that grows beyond the text itself neither with its length nor with its alphabet;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import arrow_map, maybe_broadcast
 
 DIMENSIONS, SEED = 512, 20
 #: Largest number of texts of one language that its profile is learnt from (about; by hash).
@@ -32,7 +36,10 @@ SAMPLE = 4000
 #: Languages up to which their counts are broadcast.
 BROADCAST_LANGUAGES = 100_000
 _UNIT = 1 << 20
-_PIECE = 1 << 19
+#: Letters that are counted at once, rows whose sums are held at once, and cells of a block of trigrams by rows.
+_PIECE, _ROWS, _BLOCK = 1 << 17, 512, 1 << 20
+#: Trigrams whose vectors are held at once: 2 MB for each of the few arrays of them.
+_GRAMS = 1024
 
 
 @functools.cache
@@ -40,13 +47,19 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@functools.lru_cache(65536)
-def _letter(code: int) -> np.ndarray:
-    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """A row of +1 and -1 for each code point: the bits of a mixed counter, so that none has to be remembered."""
+    words = DIMENSIONS // 64
+    x = codes.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(1, words + 1, dtype=np.uint64) + np.uint64(SEED << 32)
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.unpackbits(x.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
-def _vectors(texts: list[str], rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the trigram vectors of pieces of text, added up by row; without letters, zeros."""
+def _short(texts: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of whole texts, each run of others a space, and a space around the text; and the row of each."""
     padded = [f" {t} " for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(rows, [len(t) for t in padded])
@@ -56,37 +69,54 @@ def _vectors(texts: list[str], rows: np.ndarray, n: int) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep |= begin
-    codes, doc, letter = np.where(letter, codes, 32)[keep], doc[keep], letter[keep]
+    return np.where(letter, codes, 32)[keep], doc[keep]
+
+
+def _long(text: str) -> Iterator[np.ndarray]:
+    """The same of one long text, in pieces that begin with the last two of the piece before: no trigram is lost."""
+    tail, after = np.array([32], np.uint32), False
+    for s in range(0, len(text), _PIECE):
+        codes = np.frombuffer((text[s : s + _PIECE] + (" " if s + _PIECE >= len(text) else "")).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _is_letter()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after
+        shown = np.concatenate([tail, np.where(letter, codes, 32)[keep]])
+        yield shown
+        tail, after = shown[-2:], bool(letter[-1])
+
+
+def _vectors(codes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the trigram vectors of texts, added up by row; without letters, zeros."""
     out = np.zeros((n, DIMENSIONS))
     if len(codes) < 3:
         return out
-    used = np.flatnonzero(np.bincount(codes))
-    alphabet = len(used)
-    at = np.zeros(int(used[-1]) + 1, np.int64)
-    at[used] = np.arange(alphabet)
-    x = at[codes]
+    letter = codes != 32
     whole = (doc[2:] == doc[:-2]) & (letter[2:] | letter[1:-1] | letter[:-2])
-    key = ((x[:-2] * alphabet + x[1:-1]) * alphabet + x[2:])[whole]
+    x = codes.astype(np.uint64)
+    key = ((x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:])[whole]
     of = doc[2:][whole]
     if not len(key):
         return out
-    if alphabet**3 <= 1 << 22:
-        present = np.flatnonzero(np.bincount(key, minlength=1))
-        back = np.zeros(int(present[-1]) + 1, np.int64)
-        back[present] = np.arange(len(present))
-        inverse = back[key]
-    else:
-        present, inverse = np.unique(key, return_inverse=True)
-    table = np.stack([_letter(int(c)) for c in used])
-    first, second = np.roll(table, 2, axis=1), np.roll(table, 1, axis=1)
-    shown, local = np.unique(of, return_inverse=True)
-    step = max(1, (1 << 24) // max(1, len(shown)))
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    change = np.ones(len(key), bool)
+    change[1:] = key[1:] != key[:-1]
+    starts = np.append(np.flatnonzero(change), len(key))
+    present = key[change]
+    step = max(1, min(_GRAMS, _BLOCK // n))
     for s in range(0, len(present), step):
         part = present[s : s + step]
-        grams = first[part // (alphabet * alphabet)] * second[part // alphabet % alphabet] * table[part % alphabet]
-        inside = (inverse >= s) & (inverse < s + len(part)) if len(part) < len(present) else slice(None)
-        counts = np.bincount(local[inside] * len(part) + inverse[inside] - s, minlength=len(shown) * len(part))
-        out[shown] += counts.reshape(len(shown), len(part)).astype(np.float32) @ grams
+        lo, hi = starts[s], starts[min(s + step, len(present))]
+        letters = np.stack([part >> np.uint64(42), (part >> np.uint64(21)) & np.uint64(0x1FFFFF), part & np.uint64(0x1FFFFF)])
+        used, at = np.unique(letters, return_inverse=True)
+        table, at = letter_vectors(used), at.reshape(3, -1)
+        grams = np.roll(table, 2, axis=1)[at[0]]
+        grams *= np.roll(table, 1, axis=1)[at[1]]
+        grams *= table[at[2]]
+        local = np.repeat(np.arange(len(part)), np.diff(np.append(starts[s : s + len(part)], hi)))
+        counts = np.bincount(of[lo:hi] * len(part) + local, minlength=n * len(part)).reshape(n, len(part))
+        out += counts.astype(np.float32) @ grams
     return out
 
 
@@ -100,16 +130,18 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
     def flush():
         nonlocal pieces, rows, size
         if pieces:
-            shown, local = np.unique(rows, return_inverse=True)
-            out[shown] += _vectors(pieces, local, len(shown))
+            out[rows] = _vectors(*_short(pieces, np.arange(len(rows))), len(rows))
         pieces, rows, size = [], [], 0
 
     for i, text in enumerate(texts):
         text = (text or "").lower()
-        for s in range(0, len(text), _PIECE):
-            pieces.append(text[s : s + _PIECE])
+        if len(text) > _PIECE:
+            for codes in _long(text):
+                out[i] += _vectors(codes, np.zeros(len(codes), np.int64), 1)[0]
+        elif text:
+            pieces.append(text)
             rows.append(i)
-            size += len(pieces[-1])
+            size += len(text)
             if size >= _PIECE:
                 flush()
     flush()
@@ -138,14 +170,15 @@ def learn_profiles(docs: DataFrame, learns: Column, text_col: str = "text", lang
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
-            vectors = np.rint(_directions(text_vectors(_strings(batch.column(1)))) * _UNIT).astype(np.int64)
-            for name in set(names):
-                sums[name] = sums.get(name, 0) + vectors[names == name].sum(axis=0)
+            for s in range(0, batch.num_rows, _ROWS):
+                names = np.array(batch.column(0)[s : s + _ROWS].to_pylist(), object)
+                vectors = np.rint(_directions(text_vectors(_strings(batch.column(1)[s : s + _ROWS]))) * _UNIT).astype(np.int64)
+                for name in set(names):
+                    sums[name] = sums.get(name, 0) + vectors[names == name].sum(axis=0)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["name", "v"])
 
-    parts = chosen.mapInArrow(run, "name string, v array<long>")
+    parts = arrow_map(chosen, run, "name string, v array<long>")
     sums = parts.select("name", F.posexplode("v").alias("i", "x")).groupBy("name", "i").agg(F.sum("x").alias("x"))
     profiles: dict[str, np.ndarray] = {}
     for name, i, x in sums.toArrow().to_pandas().itertuples(index=False):
@@ -159,13 +192,15 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], text_col
     matrix = _directions(np.stack(list(profiles.values()))).T if profiles else np.zeros((DIMENSIONS, 0))
 
     def run(batches):
-        for batch in batches:
-            vectors = _directions(text_vectors(_strings(batch.column(1))))
-            cosine = np.c_[vectors @ matrix, np.full(len(vectors), -2.0)]
-            best = cosine.argmax(axis=1)
-            best[~vectors.any(axis=1)] = len(names) - 1
-            score = np.where(best < len(names) - 1, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(s, _ROWS)
+                vectors = _directions(text_vectors(_strings(batch.column(1))))
+                cosine = np.c_[vectors @ matrix, np.full(len(vectors), -2.0)]
+                best = cosine.argmax(axis=1)
+                best[~vectors.any(axis=1)] = len(names) - 1
+                score = np.where(best < len(names) - 1, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow_map(rows, run, "doc_id long, lang_pred string, score double")
