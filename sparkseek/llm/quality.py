@@ -6,14 +6,15 @@ The marginal that a line is good comes from a forward and a backward pass, and a
 document's quality is the mean of its lines' marginals, weighted by length.
 
 Training uses at most ``SAMPLE`` labelled documents of each class, those of the
-smallest hashes; of a document of over ``MOST_SEGMENTS`` segments of ``SEGMENT``
-lines, as many segments evenly spread over all of it. A document's label is that
-of all its lines. Scoring reads every line of every text; a chain of more than
-``CHAIN`` lines is cut into chains of that length, so memory stays bounded.
+smallest hashes, and of these the first by hash that have ``LINES`` lines together (the
+last one whole). All their lines are learnt from, in chains of ``SEGMENT`` lines. A document's
+label is that of all its lines. Scoring reads every line of every text; a long chain is
+walked in blocks side by side that pass their messages on, so its marginals are exact.
 
 Defined cases: a null or empty text is one empty line; without labels of both
-classes every score is 1; a document that is labelled twice has its highest
-label; repeated rows are scored alike; other columns are ignored.
+classes, or in an empty table, every score is 1; a document that is labelled twice has its
+highest label; repeated rows are scored alike; a very long text is one of a group of its
+own, in memory a few numbers for each line; other columns are kept and not read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hash_sample
+from .common import arrow_map, checkpointed, hash_sample
 
-SAMPLE, SEGMENT, MOST_SEGMENTS, CHAIN = 1500, 64, 8, 4096
+SAMPLE, LINES, SEGMENT, BLOCK = 1500, 100_000, 64, 1024
 EPOCHS, RATE, DECAY = 80, 0.1, 1e-3
 THRESHOLD = 0.3
 
@@ -96,31 +97,78 @@ class Chain:
         return with_neighbours((base - self.mean) / self.scale, sizes) @ self.weights
 
     def marginals(self, evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return forward_backward(evidence, sizes, self.moves)[0]
+        return block_marginals(evidence, sizes, self.moves)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         base, length, sizes = line_features(texts)
         evidence = self.evidence(base, sizes)
-        good = self.marginals(evidence, _cut(sizes, CHAIN))
+        good = self.marginals(evidence, sizes)
         doc = np.repeat(np.arange(len(texts)), sizes)
         weight = np.maximum(length, 1e-9)
         return np.clip(np.bincount(doc, good * weight, minlength=len(texts)) / np.bincount(doc, weight, minlength=len(texts)), 0, 1)
 
 
-def _cut(sizes: np.ndarray, most: int) -> np.ndarray:
-    if not len(sizes) or sizes.max() <= most:
-        return sizes
-    return np.array([x for n in sizes for x in [most] * (n // most) + ([n % most] if n % most else [])])
+def _longest_first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    return order, begins[order], sizes[order]
 
 
-def forward_backward(evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 for each item, and expected transition counts; chains side by side, longest first."""
+def block_marginals(evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Marginals of state 1, exact for chains of any length.
+
+    Chains are cut into blocks that are walked side by side: once from either state of the
+    first item to get what a block does to a message, then, with the messages that
+    come in at both ends, for the marginals.
+    """
     sizes = np.asarray(sizes)
-    begins = np.cumsum(sizes) - sizes
-    order = np.argsort(-sizes, kind="stable")
-    begins, sizes = begins[order], sizes[order]
+    if not len(sizes) or sizes.max() <= block:
+        return forward_backward(evidence, sizes, moves)[0]
+    parts = -(-np.maximum(sizes, 1) // block)
+    chain = np.repeat(np.arange(len(sizes)), parts)
+    within = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    length = np.minimum(block, sizes[chain] - within * block)
+    begins = np.cumsum(length) - length
+    order, starts, longest = _longest_first(length)
+    through = np.zeros((len(chain), 2, 2))  # log sum over ways from the first item's state to the last one's
+    walk = np.array([[[0.0, -np.inf], [-np.inf, 0.0]]]).repeat(len(chain), axis=0)
+    active = np.searchsorted(-longest, -np.arange(int(longest[0])), "left")
+    for t in range(1, int(longest[0])):
+        own = walk[: active[t]]
+        e = evidence[starts[: active[t]] + t]
+        to0 = _log_add(own[:, :, 0] + moves[0, 0], own[:, :, 1] + moves[1, 0])
+        to1 = _log_add(own[:, :, 0] + moves[0, 1], own[:, :, 1] + moves[1, 1]) + e[:, None]
+        own[:, :, 0], own[:, :, 1] = to0, to1
+    through[order] = walk
+    first = np.zeros((len(chain), 2))
+    first[length > 0, 1] = evidence[begins[length > 0]]
+    enter, leave = np.zeros((len(chain), 2)), np.zeros((len(chain), 2))
+    for k in range(1, len(chain)):
+        if within[k]:
+            last = _log_add(*(enter[k - 1] + first[k - 1])[:, None] + through[k - 1])
+            enter[k] = _log_add(*last[:, None] + moves)
+            enter[k] -= enter[k].max()
+    for k in range(len(chain) - 2, -1, -1):
+        if within[k + 1]:
+            begin = _log_add(*(through[k + 1] + leave[k + 1]).T) + first[k + 1]
+            leave[k] = _log_add(*(moves + begin).T)
+            leave[k] -= leave[k].max()
+    return forward_backward(evidence, length, moves, enter, leave)[0]
+
+
+def forward_backward(
+    evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 for each item, and expected transition counts; chains side by side, longest first.
+
+    ``enter`` and ``leave`` are log messages to each chain's first and last item.
+    """
+    order, begins, sizes = _longest_first(np.asarray(sizes))
     n = len(evidence)
     alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+    if leave is not None:
+        some = sizes > 0
+        beta[(begins + sizes - 1)[some]] = leave[order][some]
     steps = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(steps), "left")  # chains longer than t
     for t in range(steps):
@@ -130,7 +178,7 @@ def forward_backward(evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray)
             a0 = _log_add(p[:, 0] + moves[0, 0], p[:, 1] + moves[1, 0])
             a1 = _log_add(p[:, 0] + moves[0, 1], p[:, 1] + moves[1, 1])
         else:
-            a0 = a1 = np.zeros(len(at))
+            a0, a1 = (np.zeros((len(at), 2)) if enter is None else enter[order[: active[t]]]).T
         alpha[at, 0], alpha[at, 1] = a0, a1 + evidence[at]
     for t in range(steps - 2, -1, -1):
         at = begins[: active[t + 1]] + t
@@ -181,28 +229,45 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _segments(text: bytes) -> list[bytes]:
-    """A text's segments of consecutive lines: all, or ``MOST_SEGMENTS`` evenly spread over the whole text."""
+    """All of a text's lines, ``SEGMENT`` at a time."""
     lines = text.split(b"\n")
-    n = -(-len(lines) // SEGMENT)
-    chosen = range(n) if n <= MOST_SEGMENTS else sorted({round(k * (n - 1) / (MOST_SEGMENTS - 1)) for k in range(MOST_SEGMENTS)})
-    return [b"\n".join(lines[k * SEGMENT : (k + 1) * SEGMENT]) for k in chosen]
+    return [b"\n".join(lines[k : k + SEGMENT]) for k in range(0, len(lines), SEGMENT)]
+
+
+def _within(sizes: list[tuple[int, int, int, int]], most: int) -> set[int]:
+    """Ids of each class' first documents by place that have ``most`` lines together."""
+    out: set[int] = set()
+    used: dict[int, int] = {}
+    for y, _, i, lines in sorted(sizes):
+        if used.get(y, 0) < most:
+            out.add(i)
+        used[y] = used.get(y, 0) + lines
+    return out
 
 
 def learn_quality(
     docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE,
+    lines: int = LINES,
 ) -> Chain | None:
     """Learn from the labels on whose id ``learns`` holds; None without both classes."""
     told = labels.where(learns).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     chosen = hash_sample(told.where("y = 1"), "id", sample).unionByName(hash_sample(told.where("y = 0"), "id", sample))
+    # At most two times SAMPLE rows of two numbers: a broadcast of bounded size.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = checkpointed(texts)
+    count = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    sized = texts.select("y", F.xxhash64("id").alias("place"), "id", count.alias("lines")).collect()
+    whole = _within([tuple(r) for r in sized], lines)
 
     def run(batches):
         for batch in batches:
             for text, i, y in zip(_bytes(batch.column(1)), batch.column(0), batch.column(2), strict=True):
+                if i.as_py() not in whole:
+                    continue
                 parts = _segments(text)
                 base, _, sizes = line_features(parts)
                 ends = np.cumsum(sizes)
-                rows = [base[e - n : e].ravel().tolist() for e, n in zip(ends, sizes, strict=True)]
+                rows = [base[e - n : e].ravel() for e, n in zip(ends, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i.as_py()] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([y.as_py()] * len(parts), pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
                     ["id", "part", "y", "x"],

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import fold, hash_sample
-from sparkseek.llm.quality import SEGMENT, _segments, forward_backward, learn_quality, line_features, score_quality
+from sparkseek.llm.quality import SEGMENT, _segments, _within, block_marginals, forward_backward, learn_quality, line_features, score_quality
 from sparkseek.llm.queries import op8_toxicity, op9_quality
 from sparkseek.llm.toxicity import Linear, _mark, _ratio, features, fit_nnpu, learn_toxicity, score_toxicity, words
 
@@ -48,11 +48,20 @@ def test_marginals_agree_with_enumeration():
     assert np.allclose(good, want) and np.allclose(expected, transitions)
 
 
-def test_training_segments_spread_over_whole_texts():
-    text = "\n".join(map(str, range(SEGMENT * 40))).encode()
+def test_long_chains_have_exact_marginals():
+    rng = np.random.default_rng(3)
+    for sizes in ([1, 40, 7, 16, 0, 33], [200], [8, 8], [1]):
+        sizes = np.array(sizes)
+        evidence, moves = rng.normal(size=sizes.sum()) * 2, rng.normal(size=(2, 2)) * 2
+        for block in (1, 2, 8, 16, 1000):
+            assert np.allclose(block_marginals(evidence, sizes, moves, block), forward_backward(evidence, sizes, moves)[0])
+
+
+def test_training_segments_are_all_of_a_text():
+    text = "\n".join(map(str, range(SEGMENT * 40 + 3))).encode()
     parts = _segments(text)
-    assert len(parts) == 8 and parts[0].startswith(b"0\n") and parts[-1].endswith(str(SEGMENT * 40 - 1).encode())
-    assert b"\n".join(_segments(b"a\nb\nc")) == b"a\nb\nc" and _segments(b"") == [b""]
+    assert len(parts) == 41 and b"\n".join(parts) == text and _segments(b"") == [b""]
+    assert _within([(1, 5, 10, 60), (1, 3, 11, 50), (0, 9, 12, 500), (1, 4, 13, 60), (1, 6, 14, 1)], 100) == {11, 13, 12}
 
 
 def test_line_features_count_lines():
