@@ -9,9 +9,10 @@ histograms. What the threshold leaves of the budget (less than one document) is
 the budget of another, nested threshold over the documents that still fit.
 
 Defined cases: a null text has no words; null is a source of its own, the last;
-documents with equal ids share a hash and are taken or left together; a
-source without words has target 0; an empty table gives an empty result; other
-columns are ignored.
+documents are dealt by id and text, so those of equal or null id part, and only rows that
+repeat both are taken or left together; a source without words has target 0; a very long
+text counts whole; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ _BITS = 60
 BROADCAST_SOURCES = 200_000
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of a document's id and text."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _targets(sizes: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def _threshold(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, int]:
     """The documents' ``(doc_id, source, size, h)``, each source's plan, and the number of sources."""
     raw = checkpointed(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(F.col(id_col)).alias("h"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(F.col(id_col), F.col(text_col)).alias("h"))
     )
     plan = checkpointed(_targets(raw.groupBy("source").agg(F.sum("size").alias("source_size"))))
     n = plan.count()
@@ -145,7 +148,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; the texts are never shuffled."""
     _, plan, n = mix_plan(docs, id_col, text_col, source_col)
-    keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(F.col(id_col)).alias("h"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(F.col(id_col), F.col(text_col)).alias("h"))
     out = apply_plan(keyed, plan, n).where("copies > 0")
     return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
@@ -164,7 +167,7 @@ SQL = (
     r"""
 WITH raw AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents
 ),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM raw GROUP BY 1),

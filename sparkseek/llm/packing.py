@@ -10,8 +10,9 @@ fills bins of its own and only its remainder is packed with others.
 
 Defined cases: a document without words (null or empty text) takes no bin: its
 ``bin_id`` is null; a null source or cluster is a value like any other; repeated rows are
-separate copies of one cluster; an empty table gives an empty result; other
-columns are ignored.
+separate copies of one cluster; documents of one id and size follow one another by source
+and cluster; a very long text fills bins of its own; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, word_count
 
 CAPACITY = 2048
-#: Documents in a shard, about.
-SHARD_ROWS = 4096
+#: Documents in a shard, about, and the most partitions that shards are dealt to.
+SHARD_ROWS, MOST_PARTITIONS = 4096, 4000
 
 
 def pack(items: list[tuple[int, int, int | None]], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
@@ -67,7 +68,8 @@ def _pack_shards(capacity: int):
     schema = ["doc_id", "copy", "piece", "words", "bin_id", "bin_words", "bin_documents"]
 
     def of(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (-r[1], r[0] is None, r[0] or 0, r[4]))
+        # Rows that agree in all of this have the same columns throughout, but for the number of the copy, which is last.
+        rows.sort(key=lambda r: (-r[1], r[0] is None, r[0] or 0, r[2] is None, r[2] or "", r[3] is None, r[3] or 0, r[4]))
         source: dict = {}
         shared: dict = {}
         for r in rows:
@@ -120,7 +122,7 @@ def best_fit_packing(
     each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
     shards = max(1, -(-docs.select(F.lit(1)).count() // SHARD_ROWS))
     dealt = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "cluster"), F.lit(shards)))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = dealt.repartition(min(shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard")
     return arrow_map(
         dealt.select("shard", "doc_id", "size", "source", "cluster", "copy"),
         _pack_shards(capacity), "doc_id long, copy long, piece int, words long, bin_id long, bin_words long, bin_documents int",

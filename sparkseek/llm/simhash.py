@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import Union, link_groups
@@ -388,14 +388,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the smallest id stays.
 
-    Of rows that repeat an id and text one stays; rows of one id with different texts are
-    different documents. Rows whose id is null all stay. All columns are kept.
+    Of rows that repeat an id and text one stays, and copies are dropped before they are
+    shuffled; rows of one id with different texts are different documents. Rows whose id is
+    null all stay. All columns are kept.
     """
-    groups = near_duplicate_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone, text, own, turn = (free_name(x, docs.columns) for x in ("lost", "lost_print", "own_print", "turn"))
+    known = docs.where(F.col(id_col).isNotNull())
+    groups = near_duplicate_groups(known, id_col, text_col)
+    gone, text, own = (free_name(x, docs.columns) for x in ("lost", "lost_print", "own_print"))
     copies = groups.where("doc_id <> group_id or print <> group_print")
     lost = copies.select(F.col("doc_id").alias(gone), F.col("print").alias(text)).distinct()
-    named = docs.withColumn(own, _text_print(text_col))
+    named = known.withColumn(own, _text_print(text_col))
     kept = named.join(lost, (F.col(id_col) == F.col(gone)) & (F.col(own) == F.col(text)), "left_anti")
-    repeats = Window.partitionBy(F.col(id_col), F.col(own)).orderBy(F.col(own))
-    return kept.withColumn(turn, F.row_number().over(repeats)).where((F.col(turn) == 1) | F.col(id_col).isNull()).drop(turn, own)
+    return kept.dropDuplicates([id_col, own]).drop(own).unionByName(docs.where(F.col(id_col).isNull()))
