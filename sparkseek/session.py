@@ -19,18 +19,39 @@ def session(name: str = "sparkseek", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
+    It is the one named by ``spark.checkpoint.dir`` or set as the checkpoint folder. Only
+    on one machine, as in tests, a temporary one is made; on a cluster its lack is an error, as
+    executors cannot see one another's local folders.
     """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(made)
+    return made
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written to the shared one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this library: by its folder, and on a cluster as an archive."""
     context = spark.sparkContext
