@@ -8,8 +8,9 @@ The forests of all buckets go to ``components``.
 
 Defined cases: a null text is an empty text; a text without words has
 fingerprint zero and is linked like any other; fewer words than a shingle make
-one shingle of the whole sequence; repeated rows get the same result each; an
-empty table gives an empty result; further columns are ignored.
+one shingle of the whole sequence; repeated rows get the same result each; a very long
+text is read in slabs; an empty table gives an empty result; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ and likeness 1 to itself, 0 to others; a text without a whole chain has the
 signatures of its neighbouring words, of its one word, or of the whole text if
 it has no word, so equal texts always have equal fingerprints; documents of
 equal id follow one another by text; a null id is the smallest; the only
-document is its own next; other columns are ignored.
+document is its own next; an empty table gives an empty result; a very long text is cut at
+white space into parts whose chains run on from one to the next; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ ANCHORS = frozenset(
 _WORD = re.compile(r"\w+")
 _GAP = re.compile(r"\s")
 _SLAB = 1 << 21
-#: Documents a range of ids holds, about, and the most ranges there are.
-RANGE_ROWS, MOST_RANGES, LEAST_RANGES = 4096, 20_000, 64
+#: Documents a range of ids holds, about, and the most and fewest ranges there are; so many ranges meet in a
+#: partition that chance and some very long texts even out.
+RANGE_ROWS, MOST_RANGES, LEAST_RANGES, RANGES_TOGETHER = 512, 20_000, 512, 8
 
 
 def _slabs(text: str) -> Iterator[str]:
@@ -177,7 +180,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = F.struct(F.col("at").alias("at"), F.lit(0).alias("tail"))
     places = F.when(first, F.array(own, F.struct(before.alias("at"), F.lit(1).alias("tail")))).otherwise(F.array(own))
     dealt = rows.select(F.explode(places).alias("place"), "key", "doc_id", "text").select("place.at", "place.tail", "key", "doc_id", "text")
-    dealt = dealt.repartition(max(1, len(bounds)), "at").sortWithinPartitions("at", "tail", F.col("key").desc(), "text")
+    dealt = dealt.repartition(max(1, len(bounds) // RANGES_TOGETHER), "at").sortWithinPartitions("at", "tail", F.col("key").desc(), "text")
     return arrow_map(
         dealt.select("at", "tail", "doc_id", "text"),
         _walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",

@@ -12,7 +12,8 @@ share yields the same spans in both, whatever stands around it.
 
 Defined cases: null texts are empty; fewer words than a span make no span;
 rows that repeat an id and text count as one document; null ids sort before
-all others; an empty table gives an empty result.
+all others; an empty table gives an empty result; of a very long text all sentences are
+in memory at once, several times its size; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

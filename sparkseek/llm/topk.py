@@ -9,13 +9,15 @@ far a unit vector's coordinate lies from the query's), and otherwise only
 candidates of length ``t / |q|`` or more are multiplied. Products of what
 remains are then verified on the integers.
 
-Queries are taken in blocks of bounded size that are broadcast one after another;
-each partition returns at most k rows for each query.
+Queries are taken in blocks of bounded size. A block is broadcast, its rows are
+written and its broadcast is given up before the next one comes, so that neither the driver
+nor an executor ever holds more than one; each partition returns at most k rows for each query.
 
 Defined cases: null vectors, empty ones and those with a null or non-finite
 component take no part; only vectors of one dimension meet; rows that share
-the query's id are its own; a repeated candidate row counts each time; an
-empty table gives an empty result.
+the query's id are its own; a repeated candidate row counts each time, a repeated query
+row once; the vectors of one query id are ranked together; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, checkpointed
 
 SCALE = 1024
 QUERY_BLOCK = 4096
@@ -157,6 +159,7 @@ def top_k_products(
     spark = vectors.sparkSession
     rows = scaled_vectors(vectors, id_col, vector_col, scale)
     asked = rows.where(is_query).dropDuplicates(["vec_id", "v"])
+    asked = checkpointed(asked)
     blocks = max(1, -(-asked.count() // block))
     parts = []
     for b in range(blocks):
@@ -181,7 +184,11 @@ def top_k_products(
                 q, i, s = x.pool
                 yield pa.RecordBatch.from_arrays([pa.array(x.ids[q]), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        parts.append(arrow_map(rows, run, "query_id long, vec_id long, score long"))
+        part = arrow_map(rows, run, "query_id long, vec_id long, score long")
+        if blocks > 1:
+            part = checkpointed(part)
+            sent.destroy()
+        parts.append(part)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
@@ -199,7 +206,7 @@ WITH whole AS (
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT DISTINCT * FROM whole) q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
