@@ -138,7 +138,7 @@ class Engine:
             return dense.scoped_top_k(rows, self.lexical(scope, scope_top_k), v, k)
         return dense.top_k(rows, v, k, where)
 
-    def hybrid(self, text: str, query: str | list[float], k: int = 10, corpora: list[str] | None = None, by_file: bool = False, hint: str | None = None) -> DataFrame:
+    def hybrid(self, text: str, query: str | list[float], k: int = 10, corpora: list[str] | None = None, by_file: bool = False, hint: list[str] | None = None) -> DataFrame:
         """Lexical and dense lanes by reciprocal rank; the query's filters admit dense rows before they are ranked."""
         check_top_k(k)
         depth = min(max(k, dense.OVERFETCH), 10_000)
@@ -163,7 +163,9 @@ class Engine:
             lanes.append(fusion.lane(dense.scored(part, v, digits=9), f"dense:{c}" if c else "dense", depth, key))
         fused = fusion.rrf(lanes, "lexical")
         if hint:
-            framed = F.endswith(F.col("id"), F.lit(hint)).cast("int")
+            framed = F.lit(0)
+            for place, name in enumerate(hint):
+                framed = framed + F.when(F.endswith(F.col("id"), F.lit(name)), 1 << (len(hint) - place)).otherwise(0)
             return fused.orderBy(framed.desc(), F.col("score").desc(), F.col("in_first").desc(), "id").limit(k)
         return fusion.fused_page(fused, k)
 
@@ -171,14 +173,14 @@ class Engine:
         return self.hybrid(text, query, k, corpora)
 
     def test_trace(self, trace: str, k: int = 10) -> DataFrame:
-        """Files for a failing test's trace: the file of a frame first, then fused rank."""
+        """Files for a failing test's trace: those of its first frames first, in their order, then fused rank."""
         import re
 
-        frames = re.findall(r"([\w./-]+\.go):\d+", trace)
+        frames = list(dict.fromkeys(re.findall(r"([\w./-]+\.go):\d+", trace)))[:16]
         words = [w for w in re.findall(r"[A-Za-z_]\w{2,}", trace)][:16]
         if not words:
             raise QueryError("EMPTY_QUERY", "the trace has no word")
-        return self.hybrid(" OR ".join(dict.fromkeys(words)), trace, k, by_file=True, hint=frames[0] if frames else None)
+        return self.hybrid(" OR ".join(dict.fromkeys(words)), trace, k, by_file=True, hint=frames or None)
 
     def history(self, text: str, k: int = DEFAULT_COUNT, order: str = "recency", after: list | None = None) -> DataFrame:
         return history.search(self.s, self.plan(text)[0], k, self.now_ms, order, after)

@@ -158,36 +158,22 @@ def osa(a: str, b: str) -> int:
     return last[-1]
 
 
-def _edge(text: str, at: int) -> bool:
-    """Whether a sub-token may begin at ``at``: at an end, beside a separator, or where case or kind turns."""
-    if at <= 0 or at >= len(text):
-        return True
-    a, b = text[at - 1], text[at]
-    if not a.isalnum() or not b.isalnum():
-        return True
-    if a.isdigit() != b.isdigit():
-        return True
-    if a.islower() and b.isupper():
-        return True
-    return a.isupper() and b.isupper() and at + 1 < len(text) and text[at + 1].islower()
-
-
-def boundary_bonus(text: str, term: str) -> int:
-    """16 if an occurrence has sub-token edges on both sides, 8 on one, 0 on none; the best counts."""
-    best, at = 0, fold_text(text).find(fold_text(term))
-    while at >= 0 and term:
-        sides = _edge(text, at) + _edge(text, at + len(term))
-        best = max(best, (0, 8, 16)[sides])
-        at = fold_text(text).find(fold_text(term), at + 1)
-    return best
-
-
-def boundary_bonus_udf(term: str):
-    @F.pandas_udf(T.IntegerType())
-    def bonus(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: 0 if x is None else boundary_bonus(x, term)).astype("int32")
-
-    return bonus
+#: A place inside an ASCII identifier at which a part of it begins: beside an underscore, where case rises,
+#: where letters and digits meet, and before the last capital of a run that a small letter follows.
+_INNER = (
+    "(?:(?<=_)(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=_)|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+)
+#: The ends of a whole token.
+_BEGIN, _END = r"(?<![\p{L}\p{N}\p{M}_])", r"(?![\p{L}\p{N}\p{M}_])"
+
+
+def boundary_bonus(text: Column, term: str, case: bool = False) -> Column:
+    """16 if an occurrence begins and ends at parts of an identifier, one of the places inside it; 8 if one such place is
+    all there is; 0 otherwise, for whole tokens too. The best occurrence counts."""
+    literal = ("" if case else "(?iu:") + "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in term) + ("" if case else ")")
+    both = f"{_INNER}{literal}(?:{_INNER}|{_END})|(?:{_INNER}|{_BEGIN}){literal}{_INNER}"
+    one = f"{_INNER}{literal}|{literal}{_INNER}"
+    return F.when(text.rlike(both), 16).when(text.rlike(one), 8).otherwise(0)
 
 
 def snippet(text: str, needles: list[str], case: bool = False, width: int = 240) -> tuple[str, list[tuple[int, int]]]:

@@ -38,16 +38,12 @@ def cosine_with(v: Column, query: list[float]) -> Column:
     return F.when(length > 0, product / length).otherwise(F.lit(0.0))
 
 
-def checked_unit(v: Column, dimension: int) -> Column:
-    """The vector if it has the dimension, finite parts and length 1; else the query fails."""
-    bad = (F.size(v) != dimension) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.abs(norm(doubles(v)) - 1) > 1e-3)
-    return F.when(bad, F.raise_error(F.lit("NOT_NORMALIZED: a stored vector is not a finite unit vector of the declared dimension"))).otherwise(v)
-
-
-def normalized(v: Column) -> Column:
-    """Divided by its length; null for a zero vector."""
+def unit(v: Column, dimension: int) -> Column:
+    """The vector divided by its length; the query fails on one of another dimension, without length or with parts that are not finite."""
     wide = doubles(v)
-    return F.when(norm(wide) > 0, F.transform(wide, lambda x: x / norm(wide)))
+    bad = v.isNull() | (F.size(v) != dimension) | F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (norm(wide) <= 0)
+    fail = F.raise_error(F.lit(f"NOT_NORMALIZED: a vector to be stored is not finite, has no length or has not {dimension} parts"))
+    return F.when(bad, fail.cast("array<double>")).otherwise(F.transform(wide, lambda x: x / norm(wide)))
 
 
 def fnv1a64(data: bytes) -> int:

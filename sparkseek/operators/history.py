@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, has_words, query_literal, query_tokens, tokens
+from ..functions.text import cased, has_words, query_literal, query_tokens, tokens
 from ..functions.timeref import parse_history_timeref
 from ..plans.ast import All, Any, Empty, Keyword, Not, Phrase, Query, Raw, positive_leaves
 from ..plans.errors import QueryError
@@ -16,7 +16,7 @@ from ..sources.snapshot import Snapshot
 from .bm25 import Scorer
 from .paging import RECENT, page
 
-COMMIT_FILTERS = frozenset("author committer message before after since until rev type".split())
+COMMIT_FILTERS = frozenset("author committer message content before after since until rev type".split())
 DIFF_FILTERS = COMMIT_FILTERS | {"file", "diff.added", "diff.removed", "diff.touched"}
 
 
@@ -25,24 +25,38 @@ def snippet(row_cols: tuple[str, ...] = ("touched", "added", "removed", "header"
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in row_cols])
 
 
-def _condition(e, text: Column, toks: Column) -> Column:
+def _condition(e, text: Column, toks: Column, case: bool = False) -> Column:
+    """``text`` is in the case mode already, and ``toks`` are its tokens."""
     if isinstance(e, Empty):
         return F.lit(True)
     if isinstance(e, Not):
-        return ~_condition(e.of, text, toks)
+        return ~_condition(e.of, text, toks, case)
     if isinstance(e, (All, Any)):
-        parts = [_condition(x, text, toks) for x in e.of]
+        parts = [_condition(x, text, toks, case) for x in e.of]
         out = parts[0]
         for p in parts[1:]:
             out = out & p if isinstance(e, All) else out | p
         return out
     if isinstance(e, (Keyword, Phrase)):
-        return has_words(text, toks, query_tokens(e.text))
+        return has_words(text, toks, query_tokens(e.text, case))
     if isinstance(e, Raw):
-        return F.contains(text, F.lit(query_literal(e.text)))
+        return F.contains(text, F.lit(query_literal(e.text, case)))
     raise QueryError("UNSUPPORTED_LEAF", "the history route takes words, phrases and raw text")
 
 
+def content_leaf(f) -> Keyword | Phrase | Raw:
+    """The leaf of a ``content:`` filter; these routes have no patterns."""
+    kinds = {"keyword": Keyword, "phrase": Phrase, "raw": Raw}
+    if f.scope not in kinds:
+        raise QueryError("UNSUPPORTED_LEAF", "content: takes words, phrases and raw text on this route")
+    return kinds[f.scope](f.value)
+
+
+def holds_text(column: str, pattern: str, case: bool) -> Column:
+    """A filter's text stands in a column, in the query's case mode."""
+    return F.contains(cased(F.col(column), case), F.lit(query_literal(pattern, case)))
+
+
 def reachable(commits: DataFrame, anchor: str) -> DataFrame:
     """``(sha, committer_time_ms)`` of the anchor and all its ancestors.
 
@@ -84,13 +98,17 @@ def search(s: Snapshot, q: Query, k: int, now_ms: int, order: str = "recency", k
         rows = hunks.join(commits, "sha").withColumn("search_text", F.concat_ws("\n", "header", "added", "removed", "touched"))
     else:
         rows = commits.withColumn("path", F.lit("")).withColumn("search_text", F.col("message"))
-    rows = rows.withColumn("__text", fold(F.col("search_text"))).withColumn("__tokens", tokens(F.col("__text")))
+    case = q.options.case
+    rows = rows.withColumn("__text", cased(F.col("search_text"), case)).withColumn("__tokens", tokens(F.col("__text")))
     everything = rows
     for f in q.filters:
         if f.name not in (DIFF_FILTERS if diff else COMMIT_FILTERS):
             raise QueryError("UNSUPPORTED_FILTER", f"{f.name}: is not a filter of this history query")
-        rows = rows.where(F.lit(True)) if f.name == "type" else _filtered(s, rows, f, now_ms)
-    rows = rows.where(_condition(q.expr, F.col("__text"), F.col("__tokens")))
+        if f.name == "content":
+            rows = rows.where(_condition(content_leaf(f), F.col("__text"), F.col("__tokens"), case))
+        elif f.name != "type":
+            rows = _filtered(s, rows, f, now_ms, case)
+    rows = rows.where(_condition(q.expr, F.col("__text"), F.col("__tokens"), case))
     if order == "recency":
         rows = rows.withColumn("score", F.lit(None).cast("double"))
         sort = RECENT
@@ -100,10 +118,10 @@ def search(s: Snapshot, q: Query, k: int, now_ms: int, order: str = "recency", k
             raise QueryError("UNSCORABLE", "relevance needs a word or phrase that is not negated")
         scorer = Scorer(everything, "__text", "__tokens")
         for e in words:
-            scorer.want(query_tokens(e.text))
-        score = scorer.score(query_tokens(words[0].text))
+            scorer.want(query_tokens(e.text, case))
+        score = scorer.score(query_tokens(words[0].text, case))
         for e in words[1:]:
-            score = score + scorer.score(query_tokens(e.text))
+            score = score + scorer.score(query_tokens(e.text, case))
         rows = rows.withColumn("score", F.round(score, 6))
         sort = [("score", True), *RECENT]
     else:
@@ -113,13 +131,13 @@ def search(s: Snapshot, q: Query, k: int, now_ms: int, order: str = "recency", k
     return page(rows, sort, k, key).drop("__text", "__tokens", "search_text")
 
 
-def _filtered(s: Snapshot, rows: DataFrame, f, now_ms: int) -> DataFrame:
+def _filtered(s: Snapshot, rows: DataFrame, f, now_ms: int, case: bool) -> DataFrame:
     if f.name in ("author", "committer", "message"):
-        return rows.where(F.contains(fold(F.col(f.name)), F.lit(query_literal(f.value))))
+        return rows.where(holds_text(f.name, f.value, case))
     if f.name.startswith("diff."):
-        return rows.where(F.contains(fold(F.col(f.name.removeprefix("diff."))), F.lit(query_literal(f.value))))
+        return rows.where(holds_text(f.name.removeprefix("diff."), f.value, case))
     if f.name == "file":
-        return rows.where(F.col("path").rlike(f.value))
+        return rows.where(holds_text("path", f.value, case))
     if f.name in ("before", "after", "until"):
         t = parse_history_timeref(f.value, now_ms)
         c = F.col("committer_time_ms")

@@ -14,7 +14,6 @@ from ..functions.text import query_tokens
 from ..plans.errors import QueryError
 
 MOST_NODES, MOST_DEPTH, MOST_VARS, MOST_BINDINGS = 256, 16, 32, 256
-LANGUAGES = ("rust", "python", "typescript", "javascript", "go")
 _PART = re.compile(r"\s*(\$\.\.\.[A-Za-z_]\w*|\.\.\.|\$[A-Za-z_]\w*|\(|\)|[^\s()$]+)")
 
 
@@ -108,6 +107,19 @@ def _match(pattern: list, nodes: list, bound: dict, at: int = 0, i: int = 0):
             yield from _match(pattern, nodes, inner, at + 1, i + 1)
 
 
+def _tokens(text: str) -> list[str]:
+    try:
+        return query_tokens(text)
+    except QueryError:  # a text without words
+        return []
+
+
+def _has_run(tokens: list[str], wanted: list[str]) -> bool:
+    """Whether the wanted tokens stand side by side among the tokens."""
+    n = len(wanted)
+    return any(tokens[i : i + n] == wanted for i in range(len(tokens) - n + 1))
+
+
 def _holds(block: dict, bound: dict) -> bool:
     for name, kind, right in block["where"]:
         left = bound.get(name)
@@ -117,7 +129,7 @@ def _holds(block: dict, bound: dict) -> bool:
             return False
         if kind == "raw" and left != right:
             return False
-        if kind == "phrase" and " ".join(query_tokens(right)) not in " ".join(query_tokens(left) if left.strip() else []):
+        if kind == "phrase" and not _has_run(_tokens(left), query_tokens(right)):
             return False
         if kind == "regex" and not re.search(right, left):
             return False
@@ -173,7 +185,9 @@ def both(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def either(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.unionByName(right).dropDuplicates(["candidate_id", "start", "end"])
+    """OR: rows of either side, once for each span and set of bindings."""
+    named = F.to_json(F.array_sort(F.map_entries("bindings")))
+    return left.unionByName(right).withColumn("__named", named).dropDuplicates(["candidate_id", "start", "end", "__named"]).drop("__named")
 
 
 def without(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -185,11 +199,6 @@ def without(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def projected(rows: DataFrame) -> DataFrame:
     """The smallest match of each candidate."""
-    best = F.min_by(F.struct("start", "end", "bindings"), F.struct((F.col("end") - F.col("start")).alias("size"), "start"))
+    named = F.to_json(F.array_sort(F.map_entries("bindings")))
+    best = F.min_by(F.struct("start", "end", "bindings"), F.struct((F.col("end") - F.col("start")).alias("size"), "start", named.alias("named")))
     return rows.groupBy("candidate_id").agg(best.alias("m")).select("candidate_id", "m.start", "m.end", "m.bindings")
-
-
-def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Rows of one candidate that lie within a row of the other side."""
-    o = outer.select(F.col("candidate_id").alias("oid"), F.col("start").alias("os"), F.col("end").alias("oe"))
-    return inner.join(o, (F.col("candidate_id") == F.col("oid")) & (F.col("os") <= F.col("start")) & (F.col("oe") >= F.col("end")), "left_semi")

@@ -7,16 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cased, components_column, has_phrase, nfc, fold_text, query_tokens, tokens, within_one_edit
+from ..functions.text import boundary_bonus, cased, components_column, has_phrase, nfc, fold_text, query_tokens, tokens, within_one_edit
 from ..plans.ast import All, Any, Empty, Keyword, Not, Predicate, Query
 from ..plans.errors import QueryError
 from ..plans.translate import CodeSearch
 from ..sources.snapshot import Snapshot
 from .paging import check_top_k
 
-DECLARED = ((64, "exact"), (32, "edge"), (16, "infix"))
-
-
 def exact_name(column: str, value: str, case: bool) -> Column:
     text = nfc(value) if case else fold_text(nfc(value))
     return cased(F.col(column), case) == F.lit(text)
@@ -134,6 +131,35 @@ def code_search_rows(s: Snapshot, text: str) -> DataFrame:
     return out
 
 
+def code_search_study(s: Snapshot, text: str) -> DataFrame:
+    """What other scores would make of the files of a code search: with the bonus of declarations, of parts of
+    identifiers, of both, and with occurrences at half weight or none.
+
+    A term's declaration bonus is the best among the file's symbols, its boundary bonus the best in
+    text and path; the terms' add up. The score of ``code_search`` itself has neither.
+    """
+    rows, terms = code_search_rows(s, text), CodeSearch(text).terms
+    zero = F.lit(0)
+    places = s.need("chunks").groupBy("repo", "path").agg(
+        *[F.greatest(F.max(boundary_bonus(F.col("text"), t)), F.max(boundary_bonus(F.col("path"), t))).alias(f"b{i}") for i, t in enumerate(terms)], F.lit(1).alias("__one")
+    )
+    rows = rows.join(places, ["repo", "path"]).withColumn("boundary_bonus", sum((F.col(f"b{i}") for i in range(len(terms))), zero).cast("long"))
+    if s.symbols is not None:
+        named = s.symbols.groupBy("repo", "path").agg(*[F.max(declaration_bonus(F.col("local_name"), t)).alias(f"d{i}") for i, t in enumerate(terms)], F.lit(1).alias("__two"))
+        rows = rows.join(named, ["repo", "path"], "left")
+        declared = sum((F.coalesce(F.col(f"d{i}"), zero) for i in range(len(terms))), zero)
+    else:
+        declared = zero
+    rest = F.col("score") - F.col("occurrence")
+    rows = rows.withColumn("declaration_bonus", declared.cast("long"))
+    return rows.select(
+        "repo", "path", "candidate_id", "declaration_bonus", "boundary_bonus", F.col("score").alias("baseline"),
+        (F.col("score") + F.col("declaration_bonus")).alias("declaration_only"), (F.col("score") + F.col("boundary_bonus")).alias("boundary_only"),
+        (rest + F.floor(F.col("occurrence") / 2)).alias("occurrence_half"), rest.alias("occurrence_none"),
+        (rest + F.col("declaration_bonus") + F.col("boundary_bonus")).alias("combined"),
+    )
+
+
 def with_typo_fallback(s: Snapshot, text: str, k: int) -> DataFrame:
     """Plain code search; if it finds nothing for a single identifier, that identifier within one edit."""
     found = code_search(s, text, k)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import check_scope_regex, check_text_regex
-from ..functions.text import fold, has_words, query_literal, query_tokens
+from ..functions.text import has_words, query_literal, query_tokens
 from ..functions.timeref import parse_timeref
 from ..operators.bm25 import Scorer
 from ..sources.snapshot import Snapshot, analysed
@@ -240,7 +240,3 @@ def _fold(parts: list[Column], op) -> Column:
     for p in parts[1:]:
         out = op(out, p)
     return out
-
-
-def folded_contains(column: Column, literal: str) -> Column:
-    return F.contains(fold(column), F.lit(query_literal(literal)))

@@ -12,7 +12,7 @@ from .functions.text import byte_trigrams, components_column, fold, token_count,
 from .functions.vectors import hash_embed
 from .operators import bm25, dense, fusion, graph, positions
 from .operators.paging import percentiles
-from .operators.symbols import code_search_rows
+from .operators.symbols import code_search_rows, code_search_study
 from .sources.catalog import path_inventory, scope_delta, source_diff
 from .sources.chunkers import fixed_windows
 from .sources.snapshot import analysed
@@ -342,6 +342,12 @@ def _history_diff(spark, d):
     return Engine(snapshot(spark, d, "commits", "hunks", "refs"), NOW_MS).history(q, 50).select("sha", "path", "snippet")
 
 
+@_register("history_content_case", _COMMITS + """ SELECT sha, message FROM c WHERE contains(message, 'click of') AND contains(author, 'user1') AND list_contains(regexp_extract_all(message, """ + TOKENS + """), 'item')
+ORDER BY committer_time_ms DESC, sha LIMIT 50""")
+def _history_content_case(spark, d):
+    return Engine(snapshot(spark, d, "commits", "refs"), NOW_MS).history("type:commit content:'click of' author:user1 item case:yes", 50).select("sha", "message")
+
+
 @_register("history_rev_since", _COMMITS + f""", g AS ({duck('tags')}) SELECT sha, committer_time_ms FROM c WHERE contains(message, 'purchase')
 AND committer_time_ms >= (SELECT max(committer_time_ms) FROM c JOIN g USING (sha) WHERE g.name = 'v2') AND committer_time_ms <= 1704844800000 ORDER BY committer_time_ms DESC, sha LIMIT 50""")
 def _history_rev_since(spark, d):
@@ -371,6 +377,7 @@ _RUNTIME = {
     "runtime_stale": ("stale:before=2020-01-01T00:00:00Z lang:de", ("head",), "lang = 'de'"),
     "runtime_snapshot": ("snapshot:quality0", ("snapshots",), f"candidate_id IN (SELECT candidate_id FROM ({duck('snapshots')}) WHERE name = 'quality0')"),
     "runtime_meta": ("meta.owner:team3 meta.service:svc2 meta.layer:en", ("facets",), "candidate_id % 7 = 3 AND candidate_id % 5 = 2 AND lang = 'en'"),
+    "runtime_content_case": ("dirty:no content:'Thnd' file:src1 case:yes", ("dirty",), f"candidate_id NOT IN ({duck('dirty')}) AND contains(text, 'Thnd') AND contains(path, 'src1')"),
     "runtime_affected": ("affected:item1", ("affected",), "candidate_id IN (SELECT item_id * 3 FROM benchmark WHERE item_id % 4 = 1)"),
     "runtime_invalidated": ("invalidated_by:item2", ("invalidated",), "candidate_id IN (SELECT item_id * 5 FROM benchmark WHERE item_id % 4 = 2)"),
 }
@@ -433,10 +440,54 @@ def _structural_adjacent(spark, d):
     return Engine(snapshot(spark, d, "nodes"), NOW_MS).structural_rows("match{ user assistant }").select("candidate_id", "start", "end")
 
 
-@_register("structural_bindings")
-def _structural_bindings(spark, d):
-    rows = Engine(snapshot(spark, d, "nodes"), NOW_MS).structural_rows("match{ user $x } AND match{ $x ... user }")
-    return rows.select("candidate_id", "start", "end", F.to_json("bindings").alias("bindings"))
+#: Turns of a conversation as the children of its node: place, role as kind, first word as text. Blocks are in normal order,
+#: so a conjunction has the spans of the one that sorts first.
+_TURNS = """n AS (SELECT conv_id AS c, turn AS t, role AS kind, regexp_split_to_array(lower(text), '[ \\n]')[1] AS w FROM conversations)"""
+_SMALLEST = """SELECT c AS candidate_id, min(s) FILTER (size = least) AS start, arg_min(e, (s, b)) FILTER (size = least) AS "end", arg_min(b, (s, b)) FILTER (size = least) AS bindings
+FROM (SELECT *, e - s AS size, min(e - s) OVER (PARTITION BY c) AS least FROM m) GROUP BY 1"""
+
+
+def _blocks(text: str):
+    def run(spark, d):
+        rows = Engine(snapshot(spark, d, "nodes"), NOW_MS).structural_rows(text)
+        named = F.array_join(F.transform(F.array_sort(F.map_entries("bindings")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+        return rows.select("candidate_id", "start", "end", named.alias("bindings"))
+
+    return run
+
+
+_register("structural_bindings", f"""WITH {_TURNS}, m AS (SELECT x.c, x.t AS s, y.t + 1 AS e, 'x=' || x.w AS b FROM n x JOIN n y ON y.c = x.c AND y.t > x.t AND y.kind = 'user' JOIN n b ON b.c = x.c AND b.w = x.w JOIN n a ON a.c = b.c AND a.t = b.t - 1 AND a.kind = 'user')
+{_SMALLEST}""")(_blocks("match{ user $x } AND match{ $x ... user }"))
+_register("structural_where", f"""WITH {_TURNS}, m AS (SELECT a.c, a.t AS s, a.t + 2 AS e, 'x=' || a.w || ';y=' || b.w AS b FROM n a JOIN n b ON b.c = a.c AND b.t = a.t + 1 WHERE regexp_matches(a.w, '^t') AND list_contains(regexp_extract_all(b.w, {TOKENS}), 'the'))
+{_SMALLEST}""")(_blocks('match{ $x $y where { $x == /^t/, $y == "the" } }'))
+_register("structural_or", f"""WITH {_TURNS}, m AS (SELECT a.c, a.t AS s, a.t + 2 AS e, 'x=' || b.w AS b FROM n a JOIN n b ON b.c = a.c AND b.t = a.t + 1 WHERE a.kind = 'user'
+UNION SELECT a.c, a.t, a.t + 2, 'y=' || a.w FROM n a JOIN n b ON b.c = a.c AND b.t = a.t + 1 WHERE b.kind = 'assistant') {_SMALLEST}""")(_blocks("match{ user $x } OR match{ $y assistant }"))
+_register("structural_not", f"""WITH {_TURNS}, m AS (SELECT a.c, a.t AS s, a.t + 1 AS e, 'x=' || a.w AS b FROM n a WHERE NOT EXISTS (SELECT 1 FROM n u JOIN n x ON x.c = u.c AND x.t = u.t + 1 WHERE u.c = a.c AND u.kind = 'user' AND x.w = a.w))
+{_SMALLEST}""")(_blocks("match{ $x } AND NOT match{ user $x }"))
+_register("structural_inside", f"""WITH {_TURNS}, m AS (SELECT a.c, a.t AS s, a.t + 1 AS e, 'x=' || a.w AS b FROM n a WHERE EXISTS (SELECT 1 FROM n u JOIN n x ON x.c = u.c AND x.t = u.t + 1 WHERE u.c = a.c AND u.kind = 'assistant' AND x.kind = 'user'))
+{_SMALLEST}""")(_blocks("match{ $x inside { assistant user } }"))
+_register("structural_outside", f"""WITH {_TURNS}, m AS (SELECT a.c, a.t AS s, a.t + 1 AS e, 'x=' || a.w AS b FROM n a WHERE NOT EXISTS (SELECT 1 FROM n u JOIN n x ON x.c = u.c AND x.t = u.t + 1 WHERE u.c = a.c AND u.kind = 'assistant' AND x.kind = 'user'))
+{_SMALLEST}""")(_blocks("match{ $x outside { assistant user } }"))
+
+
+def _declared(term: str) -> str:
+    return f"CASE WHEN lower(local_name) = '{term}' THEN 64 WHEN starts_with(lower(local_name), '{term}') OR suffix(lower(local_name), '{term}') THEN 32 WHEN contains(lower(local_name), '{term}') THEN 16 ELSE 0 END"
+
+
+#: Files made of the symbols: one chunk for each file, its text the names in it.
+_FILES = f"""s AS ({duck('symbols')}), d AS (SELECT min(symbol_id) AS candidate_id, repo, path, string_agg(local_name, ' ' ORDER BY symbol_id) AS text FROM s GROUP BY repo, path),
+g AS (SELECT repo, path, max({_declared('red')}) AS d FROM s GROUP BY repo, path), w AS (SELECT *, regexp_extract_all(lower(text), {TOKENS}) AS t, (length(text) - length(replace(lower(text), 'red', ''))) // 3 AS n FROM d),
+x AS (SELECT w.*, g.d, CASE WHEN list_contains(t, 'red') THEN 100 WHEN n > 0 THEN 60 ELSE 40 END AS place, greatest(0, n - 1) * 2 AS occurrence, CASE WHEN contains(text, 'red') THEN 5 ELSE 0 END AS exact FROM w JOIN g USING (repo, path) WHERE n > 0 OR contains(lower(path), 'red')),
+y AS (SELECT *, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])(red|RED)([A-Z][a-z]|_|[0-9])') OR regexp_matches(text, '(^|[^A-Za-z0-9_])red[A-Z]|[a-z0-9_]Red([^A-Za-z0-9_]|$|[A-Z0-9_])') THEN 16 WHEN regexp_matches(text, '[a-z0-9]Red|red[A-Z]') THEN 8 ELSE 0 END AS boundary FROM x)"""
+
+
+@_register("code_search_study", f"""WITH {_FILES} SELECT repo, path, d::BIGINT AS declaration_bonus, boundary::BIGINT AS boundary_bonus, (place + occurrence + exact)::BIGINT AS baseline,
+(place + exact + occurrence // 2)::BIGINT AS occurrence_half, (place + exact + d + boundary)::BIGINT AS combined FROM y""")
+def _code_search_study(spark, d):
+    s = snapshot(spark, d, "symbols")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol_id", "local_name"))), lambda x: x["local_name"]), " ")
+    s.chunks = s.symbols.groupBy("repo", "path").agg(F.min("symbol_id").alias("candidate_id"), names.alias("text")).withColumns({"lang": F.lit("rust"), "start_line": F.lit(1), "end_line": F.lit(1)})
+    return code_search_study(s, "red").select("repo", "path", "declaration_bonus", "boundary_bonus", "baseline", "occurrence_half", "combined")
 
 
 @_register("graph_neighbours", f"WITH e AS ({duck('graph_edges')}) SELECT source AS node, kind, target AS neighbour FROM e WHERE source IN ('s3', 's5') AND kind IN ('A', 'R') ORDER BY 1, 2, 3 LIMIT 1000")
@@ -449,9 +500,24 @@ def _graph_degrees(spark, d):
     return graph.degrees(snapshot(spark, d, "graph_edges").graph_edges)
 
 
-@_register("repo_map")
-def _repo_map(spark, d):
-    return Engine(snapshot(spark, d, "entries"), NOW_MS).repo_map("red widget", 20, 200, focus=["part7"])
+def _repo_map_sql(words: list[str], k: int, budget: int) -> str:
+    """The walk as a recursion over the ranked entries."""
+    hits = " + ".join(f"contains(lower(p_name), '{w}')::INT" for w in words)
+    return f"""WITH RECURSIVE o AS (SELECT 'part' || p_partkey AS identity, (p_retailprice * 10)::BIGINT AS score_millis, greatest(p_size, 1)::BIGINT AS tokens,
+row_number() OVER (ORDER BY (p_partkey = 7) DESC, {hits} DESC, (p_retailprice * 10)::BIGINT DESC, 'part' || p_partkey) AS i FROM part),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, 0 AS n, false AS took UNION ALL
+SELECT o.i, CASE WHEN w.n < {k} AND (w.used + o.tokens <= {budget} OR w.n = 0) THEN w.used + o.tokens ELSE w.used END,
+CASE WHEN w.n < {k} AND (w.used + o.tokens <= {budget} OR w.n = 0) THEN w.n + 1 ELSE w.n END, w.n < {k} AND (w.used + o.tokens <= {budget} OR w.n = 0)
+FROM walk w JOIN o ON o.i = w.i + 1)
+SELECT walk.n::INTEGER AS rank, identity, score_millis, tokens FROM walk JOIN o USING (i) WHERE took"""
+
+
+def _repo_map(text: str, k: int, budget: int):
+    return lambda spark, d: Engine(snapshot(spark, d, "entries"), NOW_MS).repo_map(text, k, budget, focus=["part7"])
+
+
+_register("repo_map", _repo_map_sql(["red", "widget"], 20, 200))(_repo_map("red widget", 20, 200))
+_register("repo_map_unmatched", _repo_map_sql(["qqq"], 40, 90))(_repo_map("qqq", 40, 90))
 
 
 @_register("repo_map_order", """SELECT 'part' || p_partkey AS identity, (p_partkey = 7) AS in_focus, (contains(lower(p_name), 'red')::INT + contains(lower(p_name), 'widget')::INT)::INTEGER AS hits

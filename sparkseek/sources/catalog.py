@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc_udf
+from ..functions.vectors import unit
 from ..operators.bm25 import postings
 from ..plans.errors import QueryError
 from .snapshot import Snapshot
@@ -128,6 +129,9 @@ class Catalog:
             out = scope_delta(self.read(domain, parent), rows, SCOPES[domain], tombstones)
         if domain == "chunks":
             out = out.withColumn("text", nfc_udf("text")).withColumn("path", nfc_udf("path"))
+        if domain == "embeddings":
+            first = rows.select(F.size("vector").alias("n")).first()
+            out = out.withColumn("vector", unit(F.col("vector"), first["n"] if first else 0))
         cluster = [c for c in ("repo", "lang") if c in out.columns]
         if domain == "postings":
             cluster = ["term"]
@@ -165,23 +169,31 @@ class Catalog:
 
     # visibility
 
+    def _log(self) -> list[int | None]:
+        """Activated generations in order, one file each, created exclusively. There is no second file that has to agree
+        with them; an empty one is that of a writer that stopped before it wrote, and counts for nothing."""
+        folder = self._path(f"{self.root}/_activations")
+        if not self._fs.exists(folder):
+            return []
+        places = [int(n[:-5]) for x in self._fs.listStatus(folder) if (n := x.getPath().getName()).endswith(".json") and n[0] != "."]
+        return [self._get(f"_activations/{k}.json") for k in range(max(places, default=-1) + 1)]
+
     def active(self) -> int | None:
-        log = self._get("_active.json") or []
-        return log[-1] if log else None
+        return next((g for g in reversed(self._log()) if g is not None), None)
 
     def activate(self, generation: int, expected: int | None) -> None:
         """Make a sealed generation the active one, if the active one is still ``expected``."""
         if self._get(f"_sealed/{generation}.json") is None:
             raise QueryError("GENERATION_NOT_FOUND", f"generation {generation} is not sealed")
-        log = self._get("_active.json") or []
-        if (log[-1] if log else None) != expected:
-            raise QueryError("GENERATION_CONFLICT", f"active is {log[-1] if log else None}, not {expected}")
+        log = self._log()
+        now = next((g for g in reversed(log) if g is not None), None)
+        if now != expected:
+            raise QueryError("GENERATION_CONFLICT", f"active is {now}, not {expected}")
         if not self._put(f"_activations/{len(log)}.json", generation, exclusive=True):
             raise QueryError("GENERATION_CONFLICT", "another activation came first")
-        self._put("_active.json", [*log, generation])
 
     def rollback(self) -> int:
-        log = self._get("_active.json") or []
+        log = [g for g in self._log() if g is not None]
         if len(log) < 2:
             raise QueryError("GENERATION_NOT_FOUND", "there is no generation to go back to")
         self.activate(log[-2], log[-1])

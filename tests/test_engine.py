@@ -3,12 +3,13 @@
 import math
 
 import pytest
-from pyspark.sql import Row
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkseek.engine import Constraints, Engine
 from sparkseek.functions.text import fold, has_phrase, phrase_count, tokens
-from sparkseek.operators import dense, fusion, graph
+from sparkseek.operators import dense, fusion, graph, structural
 from sparkseek.operators.history import reachable
 from sparkseek.plans.errors import QueryError
 from sparkseek.sources.catalog import Catalog
@@ -112,11 +113,88 @@ def test_history_walk(spark):
     assert reachable(commits, "nowhere").count() == 0
 
 
-def test_token_budget_skips_and_goes_on():
-    rows = [Row(identity=str(i), score_millis=10, tokens=t, in_focus=False, near_focus=False, hits=1) for i, t in enumerate((50, 100, 30))]
-    taken, _ = graph.token_budget(rows, 90, 10, 1)
-    assert [r["identity"] for r, _ in taken] == ["0", "2"]
-    assert [(r["identity"], why) for r, why in graph.token_budget(rows[1:], 90, 10, 1)[0]] == [("1", "token_budget_floor_applied")]
+def entries_of(spark, rows):
+    return spark.createDataFrame(rows, "identity string, owner_path string, score_millis long, tokens long, search_text string")
+
+
+def test_repo_map_walk(spark):
+    rows = entries_of(spark, [(str(i), "o", 10, t, "alpha") for i, t in enumerate((50, 100, 30))])
+    got = graph.select_entries(rows, "alpha", 10, 90)
+    assert [r["identity"] for r in got.taken] == ["0", "2"] and got.drop_codes == ["token_budget_exhausted"] and not got.degrade_codes and got.dropped == 1
+    got = graph.select_entries(rows.where("identity > 0"), "alpha", 10, 90)
+    assert [r["identity"] for r in got.taken] == ["1"] and got.degrade_codes == ["token_budget_floor_applied"]
+    got = graph.select_entries(rows, "nothing", 10, 1000)  # unmatched entries stay
+    assert [r["identity"] for r in got.taken] == ["0", "1", "2"] and got.degrade_codes == ["query_terms_unmatched"] and got.drop_codes == []
+    got = graph.select_entries(rows, "", 2, 1000, focus=["2"])
+    assert [r["identity"] for r in got.taken] == ["2", "0"] and got.drop_codes == ["top_k_exhausted"] and got.dropped == 1
+    free = entries_of(spark, [(str(i), "o", 10, 0, "") for i in range(5)])
+    assert len(graph.select_entries(free, "", 10, 3).taken) == 3  # an entry costs one token at least
+    assert graph.select_entries(rows.limit(0), "alpha", 10, 90).taken == []
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 40), st.sampled_from(["red", "blue", "red blue"])), max_size=30), st.integers(1, 8), st.integers(0, 100), st.integers(1, 4))
+def test_repo_map_pages_agree_with_one_walk(spark, rows, k, budget, page):
+    made = [(f"{i:02d}", "o", score, tokens, text) for i, (score, tokens, text) in enumerate(rows)]
+    ordered = sorted(made, key=lambda r: (-("red" in r[4]), -r[2], r[0]))
+    want, used = [], 0
+    for r in ordered:
+        cost = max(1, r[3])
+        if len(want) < k and (used + cost <= budget or not want):
+            want.append(r[0])
+            used += cost
+    got = graph.select_entries(entries_of(spark, made), "red", k, budget, page=page)
+    assert [r["identity"] for r in got.taken] == want
+
+
+def test_activation_survives_a_writer_that_stopped(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/lake")
+    for g in (1, 2, 3):
+        catalog.seal(g)
+    catalog.activate(1, None)
+    (tmp_path / "lake/_activations/1.json").write_bytes(b"")
+    assert catalog.active() == 1
+    catalog.activate(2, 1)
+    catalog.activate(3, 2)
+    assert catalog.active() == 3 and catalog.rollback() == 2 and catalog.active() == 2
+    assert catalog.status().where("active").first()["generation"] == 2
+
+
+def test_stored_vectors_are_unit_vectors(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/lake")
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 2.0])], "candidate_id long, vector array<float>")
+    catalog.publish("embeddings", 1, rows)
+    assert [r["vector"] for r in catalog.read("embeddings", 1).orderBy("candidate_id").collect()] == [pytest.approx([0.6, 0.8]), [0.0, 1.0]]
+    for bad in ([float("nan"), 1.0], [0.0, 0.0], [1.0, 2.0, 3.0], None):
+        with pytest.raises(Exception, match="NOT_NORMALIZED"):
+            catalog.publish("embeddings", 2, rows.unionAll(spark.createDataFrame([(3, bad)], "candidate_id long, vector array<float>")).coalesce(1))
+
+
+def test_structural_or_keeps_bindings_and_phrases_are_runs_of_tokens(spark):
+    rows = [(1, 1, 0, -1, 0, "list", 0, 3, ""), (1, 1, 1, 0, 1, "word", 0, 1, "the"), (1, 1, 2, 0, 2, "word", 1, 2, "cat"), (1, 1, 3, 0, 3, "word", 2, 3, "the")]
+    nodes = spark.createDataFrame(rows, 'tree_id long, candidate_id long, node_id long, parent_id long, ord long, kind string, start long, `end` long, text string')
+    a, b = structural.match_trees(nodes, "$x cat"), structural.match_trees(nodes, "the $y")
+    both = structural.either(a, b)
+    assert both.count() == 2  # one span, two sets of bindings
+    assert structural.either(both, a).count() == 2
+    assert structural.match_trees(nodes, '$x where { $x == "he" }').count() == 0
+    assert structural.match_trees(nodes, '$x where { $x == "the" }').count() == 2
+    assert structural.match_trees(nodes, '$...xs where { $...xs == "the cat" }').count() == 2
+
+
+def test_history_and_runtime_case_and_content(spark):
+    commits = spark.createDataFrame([("a", "Ann", "ann", "Fix the Parser", 1), ("b", "ann", "Bob", "fix the parser again", 2)], "sha string, author string, committer string, message string, committer_time_ms long")
+    chunks = spark.createDataFrame([(1, "r", "A/x", "en", 1, 1, "Red text"), (2, "r", "a/y", "en", 1, 1, "red text")], "candidate_id long, repo string, path string, lang string, start_line int, end_line int, text string")
+    dirty = spark.createDataFrame([(1, 1), (2, 1)], "candidate_id long, applied_at_ms long")
+    engine = Engine(Snapshot(chunks=chunks, commits=commits, dirty=dirty), NOW)
+    shas = lambda q: sorted(r["sha"] for r in engine.history(q).collect())
+    assert shas("type:commit author:ann") == ["a", "b"] and shas("type:commit author:ann case:yes") == ["b"]
+    assert shas("type:commit Parser case:yes") == ["a"] and shas('type:commit content:"fix the" again') == ["b"]
+    assert shas("type:commit content:'Parser' case:yes") == ["a"]
+    assert sorted(ids(engine.runtime("dirty:only content:red"))) == [1, 2] and ids(engine.runtime("dirty:only red case:yes")) == [2]
+    assert ids(engine.runtime("dirty:only file:A/ case:yes")) == [1] and sorted(ids(engine.runtime("dirty:only file:a/"))) == [1, 2]
+    with pytest.raises(QueryError):
+        engine.history("type:commit content:/x/")
 
 
 def test_graph(spark):

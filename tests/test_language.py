@@ -5,12 +5,12 @@ import string
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkseek.functions.regexes import check_scope_regex, check_text_regex
 from sparkseek.functions.text import boundary_bonus, components, fold_text, nfc_offsets, osa, query_tokens, snippet
 from sparkseek.functions.timeref import parse_history_timeref, parse_timeref
 from sparkseek.functions.vectors import hash_embed
-from sparkseek.operators.graph import token_budget
 from sparkseek.operators.paging import Cursors
 from sparkseek.plans.ast import All, Any, Empty, Keyword, Not, Phrase, Predicate, Raw, Regex, normal, normalize, query_hash
 from sparkseek.plans.errors import QueryError
@@ -120,12 +120,22 @@ def test_text_contract():
         refused("NO_TERMS", query_tokens, bad)
     assert components("cleanUp") == ["clean", "up"] and components("URLParser2") == ["url", "parser", "2"] and components("home_unix") == ["home", "unix"] and components("é") == []
     assert osa("abc", "acb") == 1 and osa("abc", "abd") == 1 and osa("ca", "abc") == 3
-    assert boundary_bonus("HTTPServer", "Server") == 16 and boundary_bonus("foobar", "bar") in (0, 8) and boundary_bonus("xfoobarx", "bar") == 0
     cut, spans = snippet("a" * 500 + " needle " + "b" * 500, ["needle"])
     assert "needle" in cut and len(cut.encode()) <= 240 and spans == [(501, 507)]
     assert nfc_offsets("éx") == [(0, 1, 0, 2), (1, 2, 2, 3)]
 
 
+def test_boundary_bonus(spark):
+    # Name, term, bonus.
+    table = [
+        ("fooBar", "Bar", 16), ("foo_bar", "bar", 16), ("HTTPServer", "Server", 16), ("HTTPServer", "HTTP", 16), ("parse2Value", "2", 16),
+        ("fooBarSuffix", "Bar", 16), ("foobar", "bar", 0), ("fooBar", "ar", 0), ("needle", "needle", 0), ("éNeedle", "Needle", 0),
+    ]
+    more = [("fooBarbaz", "Bar", 8), ("foobar/bar", "bar", 0), ("needle/needle", "needle", 0), ("a.b_c", "b_", 16), ("a.b_cd", "_c", 8), ("foobar fooBar", "bar", 16), ("x", "yy", 0)]
+    for name, term, want in table + more:
+        assert spark.range(1).select(boundary_bonus(F.lit(name), term)).first()[0] == want, (name, term)
+
+
 def test_embedding_is_a_unit_vector():
     v = hash_embed("some words here")
     assert len(v) == 64 and sum(x * x for x in v) == pytest.approx(1)
