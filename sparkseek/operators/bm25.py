@@ -72,6 +72,60 @@ class Scorer:
         return term_score(tf, dfs[0], n, F.size(toks).cast("double"), mean, weight, self.policy)
 
 
+def _less(places: Column, k: int) -> Column:
+    return F.transform(places, lambda p: p - k)
+
+
+class IndexScorer:
+    """The same scores from postings: a clause's occurrences come from the positions of its words, and no text is read.
+
+    The statistics are the number of a term's postings and the one row of ``totals``.
+    """
+
+    def __init__(self, index: DataFrame, totals: DataFrame, policy: Policy = Policy()):
+        self.index, self.totals, self.policy = index, totals, policy
+        self.terms: list[str] = []
+
+    def want(self, words: list[str]) -> None:
+        self.terms += [w for w in words if w not in self.terms]
+
+    def joined(self, rows: DataFrame, key: str = "candidate_id") -> DataFrame:
+        """``rows`` with a column ``__hit<i>`` of the i-th term's positions, and the length of those that have any term."""
+        if not self.terms:
+            return rows
+        found = self.index.where(F.col("term").isin(*self.terms)).groupBy(key).agg(
+            F.max("length").alias("__length"), *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"__hit{i}") for i, t in enumerate(self.terms)]
+        )
+        return rows.join(found, key, "left")
+
+    def count(self, words: list[str]) -> Column:
+        """How often the words stand side by side."""
+        runs = [F.col(f"__hit{self.terms.index(w)}") for w in words]
+        starts = runs[0]
+        for k, places in enumerate(runs[1:], 1):
+            starts = F.array_intersect(starts, _less(places, k))
+        return F.when(starts.isNotNull(), F.size(starts)).otherwise(0)
+
+    def match(self, words: list[str]) -> Column:
+        return self.count(words) > 0
+
+    def score(self, words: list[str]) -> Column:
+        n, mean = self.totals.select("n").scalar(), self.totals.select("mean").scalar()
+        dfs = [self.index.where(F.col("term") == w).agg(F.count(F.lit(1)).cast("double").alias("df")).select("df").scalar() for w in words]
+        weight = idf(n, dfs[0])
+        for df in dfs[1:]:
+            weight = weight + idf(n, df)
+        length = F.coalesce(F.col("__length"), F.lit(0)).cast("double")
+        return term_score(self.count(words).cast("double"), dfs[0], n, length, mean, weight, self.policy)
+
+
+def totals(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(n, mean)``: the chunks there are and their mean length in tokens."""
+    return chunks.select(token_count(fold(F.coalesce(F.col(text_col), F.lit("")))).alias("length")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), (F.sum("length") / F.count(F.lit(1))).alias("mean")
+    )
+
+
 def postings(chunks: DataFrame, text_col: str = "text", id_col: str = "candidate_id") -> DataFrame:
     """``(term, candidate_id, tf, length, positions)``: the index that publication writes, clustered by term."""
     rows = chunks.select(F.col(id_col).alias("candidate_id"), tokens(fold(F.col(text_col))).alias("t"))

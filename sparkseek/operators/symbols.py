@@ -24,6 +24,11 @@ def has_components(name: Column, parts: list[str]) -> Column:
     return has_phrase(components_column(name), [p.lower() for p in parts])
 
 
+def _any_with(words: Column, parts: list[str]) -> Column:
+    """Whether any of the words has the parts."""
+    return F.exists(words, lambda w: has_components(w, parts))
+
+
 def search(s: Snapshot, q: Query, k: int) -> DataFrame:
     """Symbol rows whose name holds the words; exact predicates compare whole names."""
     check_top_k(k)
@@ -112,7 +117,7 @@ def code_search_rows(s: Snapshot, text: str) -> DataFrame:
         near = F.exists(folded_words, lambda w: within_one_edit(w, t.lower()))
         parts.append(F.max(F.when(F.array_contains(folded_words, t.lower()), 2).when(near, 1).otherwise(0)).alias(f"typo{j}"))
     for j, p in enumerate(want.components):
-        parts.append(F.max(F.exists(words, lambda w, p=p: has_components(w, p)).cast("int")).alias(f"comp{j}"))
+        parts.append(F.max(_any_with(words, p).cast("int")).alias(f"comp{j}"))
     grouped = files.groupBy("repo", "path").agg(*parts, F.min("candidate_id").alias("candidate_id"))
     keep = [F.col(f"place{i}") > 0 for i in range(len(terms))] + [F.col(f"no{j}") == 0 for j in range(len(want.without))]
     keep += [F.col(f"typo{j}") > 0 for j in range(len(want.typo))] + [F.col(f"comp{j}") > 0 for j in range(len(want.components))]

@@ -3,7 +3,9 @@
 Leaves become column expressions. Predicates become key sets: those that stand
 in the top conjunction restrict by semi-join (negated, by anti-join); those below
 OR or NOT become an existence flag by a left join on distinct keys. Filters are
-conditions; statistics are those of the whole population.
+conditions; statistics are those of the whole population. Where a generation has
+postings and totals, words and phrases become conditions on positions that are
+joined from the postings of the query's terms; else on the tokens of the text. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.regexes import check_scope_regex, check_text_regex
 from ..functions.text import has_words, query_literal, query_tokens
 from ..functions.timeref import parse_timeref
-from ..operators.bm25 import Scorer
+from ..operators.bm25 import IndexScorer, Scorer
 from ..sources.snapshot import Snapshot, analysed
 from .ast import All, Any, Empty, Keyword, Not, Phrase, Predicate, Query, Raw, Regex
 from .errors import QueryError
@@ -42,6 +44,10 @@ class Compiler:
         self.case = q.options.case
         self.base = analysed(snapshot.need("chunks"), self.case)
         self.body, self.paths = Scorer(self.base, "__text", "__tokens"), Scorer(self.base, "__path", "__path_tokens")
+        # Postings hold folded tokens: with them, words and phrases of a folded query are answered without the text.
+        self.index = None
+        if snapshot.postings is not None and snapshot.totals is not None and not self.case:
+            self.index = self.body = IndexScorer(snapshot.postings, snapshot.totals)
         self.flags: list[tuple[str, DataFrame, list[str]]] = []
 
     # leaves
@@ -57,11 +63,14 @@ class Compiler:
                 self.want(x, False)
         elif isinstance(e, Not):
             self.want(e.of, False)
-        elif isinstance(self.regexp(e), Keyword) and self.q.options.index != "no":
+        elif isinstance(self.regexp(e), (Keyword, Phrase)):
             words = query_tokens(e.text, self.case)
-            self.body.want(words)
-            if lone:
-                self.paths.want(words)
+            if self.index is not None:
+                self.body.want(words)
+            if isinstance(self.regexp(e), Keyword) and self.q.options.index != "no":
+                self.body.want(words)
+                if lone:
+                    self.paths.want(words)
 
     def leaf_match(self, e, text: str = "__text", toks: str = "__tokens") -> Column:
         e = self.regexp(e)
@@ -89,7 +98,10 @@ class Compiler:
             flag = f"__flag{len(self.flags)}"
             self.flags.append((flag, keys, on))
             return F.col(flag)
-        got = self.leaf_match(e)
+        if self.index is not None and isinstance(self.regexp(e), (Keyword, Phrase)):
+            got = self.index.match(query_tokens(e.text, self.case))
+        else:
+            got = self.leaf_match(e)
         if lone and isinstance(self.regexp(e), Keyword):
             got = got | has_words(F.col("__path"), F.col("__path_tokens"), query_tokens(e.text, self.case))
         return got
@@ -106,7 +118,7 @@ class Compiler:
             words = query_tokens(e.text, self.case)
             own = self.body.score(words)
             return own + self.paths.score(words) if lone else own
-        return F.when(self.leaf_match(e), F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.when(self.condition(e), F.lit(1.0)).otherwise(F.lit(0.0))
 
     # predicates
 
@@ -226,6 +238,8 @@ class Compiler:
         lone = len(rest) == 1 and rest[0] is e
         e = Empty() if not rest else rest[0] if len(rest) == 1 else All(tuple(rest))
         self.want(e, lone)
+        if self.index is not None:
+            rows = self.index.joined(rows)
         match = self.condition(e, lone)
         for flag, keys, on in self.flags:
             rows = rows.join(keys.withColumn(flag, F.lit(True)), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

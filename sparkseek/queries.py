@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions.text import byte_trigrams, components_column, fold, token_count, tokens, within_one_edit
-from .functions.vectors import hash_embed
+from .functions.vectors import doubles, hash_embed
 from .operators import bm25, dense, fusion, graph, positions
 from .operators.paging import percentiles
 from .operators.symbols import code_search_rows, code_search_study
@@ -154,6 +154,22 @@ def _lexical(text: str, tables: tuple[str, ...], syntax: str = "lq"):
 
 for _name, (_text, _tables, _sql) in _LEXICAL.items():
     _register(_name, _sql)(_lexical(_text, _tables))
+
+
+def _indexed(text: str, tables: tuple[str, ...]):
+    """The same query over postings and totals instead of the text."""
+
+    def run(spark, d):
+        s = snapshot(spark, d, *tables)
+        s.postings, s.totals = bm25.postings(s.chunks), bm25.totals(s.chunks)
+        return Engine(s, NOW_MS).lexical(text, 50).select(*_SHOWN.split(", "))
+
+    return run
+
+
+for _name in ("lexical_keyword", "lexical_keyword_tokens", "lexical_phrase", "lexical_boolean", "lexical_and_mixed", "filter_content", "index_no_scan", "predicate_nested", "select_repo"):
+    _text, _tables, _sql = _LEXICAL[_name]
+    _register(f"indexed_{_name}", _sql)(_indexed(_text, _tables))
 _register("web_syntax", _lexical_sql(f"({_has(['idiot'])} AND contains(f, 'th')) AND regexp_full_match(repo, 'src.*')", f"{_bm25(['idiot'])} + 1.0"))(
     _lexical("r:src.* idiot content:'th'", (), "web")
 )
@@ -254,10 +270,13 @@ def _dense_scoped(spark, d):
 
 @_register("dense_regions_recall")
 def _dense_regions(spark, d):
-    rows = embeddings(spark, d)
-    v = _query_vector(spark, d)
-    found = dense.Regions(rows, 16).search(v, 10, 12)
-    return dense.recall(found, dense.top_k(rows, v, 10))
+    """Over every query whose id is divisible by 50, against all vectors: 20 of 64 regions are read."""
+    rows = embeddings(spark, d).select("candidate_id", "vector")
+    queries = rows.where("candidate_id % 50 = 0").select(F.col("candidate_id").alias("query_id"), doubles(F.col("vector")).alias("q"))
+    found = dense.Regions(rows, 64, spread=2).search_many(queries, 10, 20)
+    exact = dense.ranked_pairs(queries.crossJoin(rows.select("candidate_id", doubles(F.col("vector")).alias("v"))), 10, "candidate_id")
+    hit = found.select("query_id", "candidate_id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "candidate_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def _rrf_sql(lanes: dict[str, str], k: int, prelude: str) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfc_udf
 from ..functions.vectors import unit
-from ..operators.bm25 import postings
+from ..operators.bm25 import postings, totals
 from ..plans.errors import QueryError
 from .snapshot import Snapshot
 
@@ -27,7 +27,7 @@ SCOPES = {
     "chunks": ["repo", "path"], "symbols": ["repo", "path"], "embeddings": ["candidate_id"], "repos": ["repo"], "owners": ["repo", "path"],
     "contributors": ["repo", "path"], "commits": ["sha"], "hunks": ["sha", "path"], "refs": ["name"], "tags": ["name"], "dirty": ["candidate_id"],
     "changed": ["path"], "facets": ["candidate_id"], "snapshots": ["name"], "affected": ["key"], "invalidated": ["key"], "head": [],
-    "nodes": ["tree_id"], "entries": ["identity"], "graph_nodes": ["id"], "graph_edges": ["source"], "clusters": ["card"], "postings": ["candidate_id"],
+    "nodes": ["tree_id"], "entries": ["identity"], "graph_nodes": ["id"], "graph_edges": ["source"], "clusters": ["card"], "postings": ["candidate_id"], "totals": [],
 }
 
 
@@ -159,9 +159,10 @@ class Catalog:
         self._fs.delete(self._path(self._folder(domain, generation)), True)
 
     def index(self, generation: int) -> None:
-        """Postings of the generation's chunks, clustered by term."""
-        made = postings(self.read("chunks", generation)).repartitionByRange("term")
-        self.publish("postings", generation, made)
+        """Postings of the generation's chunks, clustered by term so that a query reads its terms' row groups, and their totals."""
+        chunks = self.read("chunks", generation)
+        self.publish("postings", generation, postings(chunks).repartitionByRange("term"))
+        self.publish("totals", generation, totals(chunks))
 
     def seal(self, generation: int, parent: int | None = None) -> None:
         if not self._put(f"_sealed/{generation}.json", {"parent": parent, "domains": sorted(d for d in DOMAINS if self.exists(d, generation))}, exclusive=True):

@@ -26,6 +26,7 @@ class Snapshot:
     snapshots(name, candidate_id); affected(key, candidate_id); invalidated(key, candidate_id); head(head_ms, materialized_ms)
     nodes(tree_id, candidate_id, node_id, parent_id, ord, kind, start, end, text); entries: the repository map
     graph_nodes(id, digest); graph_edges(kind, source, target); clusters(card, member)
+    postings(term, candidate_id, tf, length, positions) and totals(n, mean): the index of this generation's chunks
     """
 
     chunks: DataFrame | None = None
@@ -51,6 +52,7 @@ class Snapshot:
     graph_edges: DataFrame | None = None
     clusters: DataFrame | None = None
     postings: DataFrame | None = None
+    totals: DataFrame | None = None
     model_id: str = "hash-64"
 
     def need(self, name: str) -> DataFrame:

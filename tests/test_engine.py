@@ -132,6 +132,24 @@ def test_repo_map_walk(spark):
     assert graph.select_entries(rows.limit(0), "alpha", 10, 90).taken == []
 
 
+def test_published_index_answers_without_the_text(spark, engine, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/lake")
+    catalog.publish("chunks", 1, engine.s.chunks)
+    catalog.index(1)
+    catalog.seal(1)
+    catalog.activate(1, None)
+    indexed = Engine(catalog.snapshot(), NOW)
+    plan = indexed.lexical("needle -haystack")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "FileScan" in x]
+    assert scans and not any("text:string" in x for x in scans)
+    assert any("term" in x.split("PushedFilters")[1].split("ReadSchema")[0] for x in scans if "positions" in x)
+    for q in ("needle", "needle -haystack", '"of the"', "needle OR thing", "hay needle", "b.y", 'NOT nothing one', '"the of" thing', "'eedle h' AND needle", "absent"):
+        one, two = (x.lexical(q).select("candidate_id", "score").collect() for x in (engine, indexed))
+        assert one == two, q
+    why = indexed.explain(1, "needle AND haystack")
+    assert why["outcome"] == "Matched" and why == engine.explain(1, "needle AND haystack") | {"domains": why["domains"]}
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 40), st.sampled_from(["red", "blue", "red blue"])), max_size=30), st.integers(1, 8), st.integers(0, 100), st.integers(1, 4))
 def test_repo_map_pages_agree_with_one_walk(spark, rows, k, budget, page):
