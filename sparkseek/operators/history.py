@@ -57,25 +57,41 @@ def holds_text(column: str, pattern: str, case: bool) -> Column:
     return F.contains(cased(F.col(column), case), F.lit(query_literal(pattern, case)))
 
 
+#: First parents are followed for at most so many doublings; a history of 2**40 commits would need more.
+DOUBLINGS = 40
+
+
 def reachable(commits: DataFrame, anchor: str) -> DataFrame:
     """``(sha, committer_time_ms)`` of the anchor and all its ancestors.
 
-    Steps are doubled: after round k the walk knows all commits at fewer than
-    ``2**k`` steps, and the parent edges have become edges of ``2**k`` steps. So
-    the rounds grow with the logarithm of the history's depth, and each is
-    two equi-joins. Rounds are cut by checkpoints.
+    First parents are a function, so jumps along them can be doubled and every table of
+    jumps has a row for each commit at most, however histories merge; a set is closed
+    under first parents in as many joins as the logarithm of the depth. The other parents
+    of merges then start further sets, until none is new: as many rounds as
+    side branches nest. All joins are equi-joins, cut by checkpoints.
     """
-    seen = checkpointed(commits.where(F.col("sha") == anchor).select("sha").distinct())
-    steps = commits.select("sha", F.explode("parents").alias("to")).distinct()
-    known = seen.count()
-    while known:
-        steps = checkpointed(steps)
-        seen = checkpointed(seen.unionAll(seen.join(steps, "sha").select("to")).distinct())
-        before, known = known, seen.count()
-        if known == before:
-            break
-        further = steps.select(F.col("sha").alias("to"), F.col("to").alias("far"))
-        steps = steps.join(further, "to").select("sha", F.col("far").alias("to")).distinct()
+    first = commits.select("sha", F.get("parents", F.lit(0)).alias("to")).where("to is not null").distinct()
+    merged = commits.where(F.size("parents") > 1).select("sha", F.explode(F.slice("parents", F.lit(2), F.size("parents") - 1)).alias("to")).distinct()
+    jumps: list[DataFrame] = []
+    complete = False
+    seen = new = checkpointed(commits.where(F.col("sha") == anchor).select("sha").distinct())
+    while not new.isEmpty():
+        level = 0
+        while True:
+            if level == len(jumps) and not complete:
+                jump = first if not jumps else jumps[-1].join(jumps[-1].select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to"))
+                jump = checkpointed(jump)
+                complete = jump.isEmpty() or level >= DOUBLINGS
+                if not complete:
+                    jumps.append(jump)
+            if level == len(jumps):
+                break
+            new = new.unionAll(new.join(jumps[level], "sha").select("to")).distinct()
+            new = checkpointed(new) if level % 2 else new
+            level += 1
+        new = checkpointed(new)
+        seen = checkpointed(seen.unionAll(new).distinct())
+        new = checkpointed(new.join(merged, "sha").select(F.col("to").alias("sha")).distinct().join(seen, "sha", "left_anti"))
     return commits.select("sha", "committer_time_ms").join(seen, "sha", "left_semi")
 
 

@@ -111,6 +111,10 @@ def test_history_walk(spark):
     assert {r["sha"] for r in reachable(commits, "m").collect()} == {*map(str, range(40)), "m", "s"}
     assert {r["sha"] for r in reachable(commits, "s").collect()} == {"s", "3", "2", "1", "0"}
     assert reachable(commits, "nowhere").count() == 0
+    # A ladder of merges: every commit has both commits below it as parents, in either order; and a parent that is not stored.
+    ladder = [(f"{side}{i}", [f"{x}{i - 1}" for x in (("a", "b") if i % 2 else ("b", "a"))] if i else ["gone"], i) for i in range(40) for side in "ab"]
+    commits = spark.createDataFrame(ladder, "sha string, parents array<string>, committer_time_ms long")
+    assert {r["sha"] for r in reachable(commits, "b20").collect()} == {"b20", *(f"{x}{i}" for i in range(20) for x in "ab")}
 
 
 def entries_of(spark, rows):
