@@ -49,6 +49,8 @@ POSITIVES, UNLABELLED = 3000, 20_000
 LEAST_TEXTS, LEAST_POSITIVES, LIFT, STRICTNESS = 4, 3, 2.0, 0.6
 #: Features that are kept at most, those of the largest likelihood ratios.
 FEATURES = 20_000
+#: Partitions of the training texts, which are read several times.
+SPREAD = 32
 EPOCHS, RATE, DECAY = 100, 0.02, 2e-3
 #: Letters of a longer word's beginnings, features of their own: inflected and compounded words share them.
 PREFIXES = range(3, 10)
@@ -172,7 +174,7 @@ def _training_texts(docs: DataFrame, told: DataFrame, learns: Column, id_col: st
     # At most POSITIVES + UNLABELLED rows of two small columns: a broadcast of bounded size.
     chosen = F.broadcast(checkpointed(sure.unionByName(rest)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "id")
-    texts = checkpointed(texts.select("id", "positive", "text"))
+    texts = checkpointed(texts.select("id", "positive", "text").repartition(SPREAD, "id"))
 
     def run(batches):
         for batch in batches:
