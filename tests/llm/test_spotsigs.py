@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import zlib
 
 from sparkseek.llm.spotsigs import ANCHORS, edited_fingerprints, fingerprint_text, jaccard, signatures, spotsigs_pairs
 
@@ -58,3 +60,28 @@ def test_pairs_agree_with_brute_force(docs):
     reps = sorted(set(named.values()))
     want = {(a, b): round(jaccard(sets[a], sets[b]), 9) for a in reps for b in reps if a < b and len(sets[a]) and len(sets[b]) and jaccard(sets[a], sets[b]) >= 0.8}
     assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in pairs.collect()} == want and want
+
+
+def plain_chains(text):
+    """Every anchor with the next two words that are none, by looking ahead from each place; without any, see the module."""
+    found = re.findall(r"\w+", text.lower())
+    out = set()
+    for k, w in enumerate(found):
+        after = [x for x in found[k + 1 :] if x not in ANCHORS][:2]
+        if w in ANCHORS and len(after) == 2:
+            out.add((w, *after))
+    return out
+
+
+def test_fingerprints_agree_with_a_brute_force_of_their_own(docs):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(20, 90))) for i in range(60)]
+    texts = dict(rows)
+    for r in edited_fingerprints(docs(rows)).collect():
+        text, other = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % 60]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        a, b, c = map(plain_chains, (text, edited, other))
+        assert a and b and c
+        for chains, shown in ((a, r["fingerprint"]), (b, r["edited_fingerprint"])):
+            assert shown == "".join(sorted({f"{zlib.crc32(' '.join(x).encode()):08x}" for x in chains}))
+        assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 1e-9 and abs(r["near_next"] - len(a & c) / len(a | c)) < 1e-9

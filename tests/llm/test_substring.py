@@ -60,3 +60,38 @@ def test_short_runs_and_the_end_of_a_passage(docs):
     rows = [(1, f"{short}Then one goes on. {ends}Nothing more."), (2, f"Before. {short}Between. {ends}After it all."), (3, None)]
     got = {r["doc_id"]: r["text"] for r in dedup_substrings(docs(rows)).collect()}
     assert got == {1: rows[0][1], 2: "Before. Between. After it all.", 3: None}
+
+
+def plain_brute(rows, least_words=8, long_sentence=25):
+    """From texts whose sentences end in a stop and a space: every run by looking at all pairs of sentences."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        parts = [p + ". " for p in text.split(". ")[:-1]] + [text.split(". ")[-1]]
+        parts = [p for p in parts if p]
+        words = [tuple(p.lower().split()) for p in parts]
+        n = len(parts)
+        enough = {(a, b) for a in range(n) for b in range(a + 2, n + 1) if sum(map(len, words[a:b])) >= least_words}
+        runs = {(a, b) for a, b in enough if not any((a, c) in enough for c in range(a + 2, b)) or not any((c, b) in enough for c in range(a + 1, b - 1))}
+        runs |= {(a, a + 1) for a in range(n) if len(words[a]) >= long_sentence}
+        gone = set()
+        for a, b in sorted(runs):
+            where = (i, a)
+            if first.setdefault(tuple(words[a:b]), where) != where:
+                gone |= set(range(a, b))
+        out[i] = ("".join(p for k, p in enumerate(parts) if k not in gone), len(gone))
+    return out
+
+
+def test_agrees_with_a_brute_force_of_its_own(docs):
+    rng = random.Random(12)
+    pool = [" ".join(f"q{rng.randrange(300)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 14, 26]))) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else " ".join(f"u{i}_{k}_{x}" for x in range(rng.randint(1, 12))) for k in range(rng.randint(1, 14))]
+        if i % 3 == 0:
+            at = rng.randrange(50)
+            parts[1:1] = pool[at : at + 6]
+        rows.append((i, ". ".join(parts) + "."))
+    got = {r["doc_id"]: (r["text"], r["removed_sentences"]) for r in dedup_substrings(docs(rows)).collect()}
+    want = plain_brute(rows)
+    assert got == want and sum(n for _, n in want.values()) > 40
