@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from .functions.vectors import doubles, hash_embed
 from .operators import bm25, dense, fusion, graph, positions
 from .operators.paging import percentiles
 from .operators.symbols import code_search_rows, code_search_study
-from .sources.catalog import path_inventory, scope_delta, source_diff
+from .session import shared_folder
+from .sources.catalog import Catalog, path_inventory, scope_delta, source_diff
 from .sources.chunkers import fixed_windows
 from .sources.snapshot import analysed
+from .streaming.ingest import Ingest
 from .sources.testtables import CHUNKS, TOKENS, VECTORS, chunks, duck, embeddings, snapshot
 
 NOW_MS = 1_706_745_600_000  # 2024-02-01
@@ -314,12 +317,38 @@ def _hybrid_seed(spark, d):
     return _fused(Engine(snapshot(spark, d, "embeddings"), NOW_MS).hybrid_seed("'ndthe'", _query_vector(spark, d), ["c0", "c1", "c2"], 30))
 
 
-@_register("hybrid_reconciled")
+_RECONCILED = _rrf_sql(
+    {"lexical": _LANE.format(t=f"(SELECT *, round({_bm25(['that'])} + {_bm25(['that'], 'pt')}, 6) AS score FROM d WHERE {_has(['that'])} OR {_has(['that'], 'pt')})", o="repo, path"), "dense": _LANE.format(t="s", o="path")}, 30, _FUSE)
+
+
+@_register("hybrid_reconciled", f"SELECT id, score, true AS agrees FROM ({_RECONCILED})")
 def _hybrid_reconciled(spark, d):
     fused = Engine(snapshot(spark, d, "embeddings"), NOW_MS).hybrid("that", _query_vector(spark, d), 30)
     return fusion.reconciled(fused).select("id", F.round("score", 9).alias("score"), "agrees")
 
 
+_FILE_LANE = "SELECT repo || chr(0) || path AS id, row_number() OVER (ORDER BY score DESC, {o}, candidate_id) AS rank FROM {t} QUALIFY rank <= 100"
+_BY_FILE = _rrf_sql({"lexical": _FILE_LANE.format(t="(SELECT *, 1.0::DOUBLE AS score FROM d WHERE contains(f, 'ndthe'))", o="repo, path"), "dense": _FILE_LANE.format(t="s", o="path")}, 30, _FUSE)
+
+
+@_register("hybrid_file", f"SELECT replace(id, chr(0), '|') AS file, score, in_first FROM ({_BY_FILE})")
+def _hybrid_file(spark, d):
+    fused = Engine(snapshot(spark, d, "embeddings"), NOW_MS).hybrid("'ndthe'", _query_vector(spark, d), 30, by_file=True)
+    return fused.select(F.replace("id", F.lit("\0"), F.lit("|")).alias("file"), F.round("score", 9).alias("score"), "in_first")
+
+
+@_register("semantic_corpus", _DENSE + "SELECT candidate_id, score FROM s WHERE corpus = 'c1' ORDER BY score DESC, path, candidate_id LIMIT 20")
+def _semantic_corpus(spark, d):
+    found = Engine(snapshot(spark, d, "embeddings"), NOW_MS).semantic(_query_vector(spark, d), 20, corpus="c1")
+    return found.select("candidate_id", F.round("score", 6).alias("score"))
+
+
+@_register("semantic_scope", _DENSE + f"SELECT candidate_id, score FROM s WHERE candidate_id IN (SELECT candidate_id FROM (SELECT *, 1.0 AS score FROM d) WHERE contains(f, 'nd') {_ORDER} LIMIT 300) ORDER BY score DESC, path, candidate_id LIMIT 20")
+def _semantic_scope(spark, d):
+    found = Engine(snapshot(spark, d, "embeddings"), NOW_MS).semantic(_query_vector(spark, d), 20, scope="'nd'", scope_top_k=300)
+    return found.select("candidate_id", F.round("score", 6).alias("score"))
+
+
 @_register("semantic_hash_embedder")
 def _semantic_hash(spark, d):
     from .functions.vectors import hash_embed_udf
@@ -442,6 +471,12 @@ def _code_search(spark, d):
     return code_search_rows(snapshot(spark, d), "idiot scum -clown").select("repo", "path", "candidate_id")
 
 
+@_register("typo_fallback", f"WITH {CHUNKS} SELECT repo, path FROM d WHERE len(list_filter(t, lambda x: damerau_levenshtein(x, 'idoit') <= 1)) > 0")
+def _typo_fallback(spark, d):
+    """No file has the word as it stands, so those with a word one edit away are taken."""
+    return Engine(snapshot(spark, d), NOW_MS).code_search("idoit", 10_000, fallback=True).select("repo", "path")
+
+
 @_register("interval_overlap", f"""WITH s AS ({duck('symbols')})
 SELECT s.symbol_id, c.symbol_id AS chunk FROM s JOIN s c ON s.path = c.path AND s.start_line <= c.end_line AND s.end_line >= c.start_line WHERE s.local_name = 'redWidget'""")
 def _interval_overlap(spark, d):
@@ -563,6 +598,41 @@ def _delta_publish(spark, d):
     return scope_delta(base, fresh, ["doc_id"], base.where("doc_id % 10 = 2"))
 
 
+def _lake(spark) -> Catalog:
+    return Catalog(spark, f"{shared_folder(spark).rstrip('/')}/lake-{uuid.uuid4().hex}")
+
+
+@_register("generation_activated", f"WITH {CHUNKS} SELECT candidate_id, CASE WHEN candidate_id % 10 = 3 THEN 'de' ELSE lang END AS lang FROM d WHERE candidate_id % 10 <> 4 AND contains(f, 'th')")
+def _generation_activated(spark, d):
+    """Two generations, the second from the first by scopes that are replaced and removed; staged, replayed, sealed, activated, rolled back."""
+    catalog, rows = _lake(spark), chunks(spark, d).where("path is not null")
+    catalog.stage("chunks", 1, rows.where("candidate_id % 2 = 0"))
+    catalog.stage("chunks", 1, rows.where("candidate_id % 2 = 1"))
+    catalog.publish_staged("chunks", 1)
+    catalog.seal(1)
+    catalog.activate(1, None)
+    fresh = rows.where("candidate_id % 10 = 3").withColumn("lang", F.lit("de"))
+    told = [catalog.publish("chunks", 2, fresh, parent=1, tombstones=rows.where("candidate_id % 10 = 4"), event="e") for _ in range(2)]
+    catalog.seal(2, 1)
+    catalog.activate(2, 1)
+    back = (catalog.rollback(), catalog.active())
+    catalog.activate(2, 1)
+    if told != [True, False] or back != (1, 1):
+        raise AssertionError(f"a replay was applied or a rollback was not: {told}, {back}")
+    return Engine(catalog.snapshot(), NOW_MS).matches("'th'").select("candidate_id", "lang")
+
+
+@_register("stream_latest", """SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'""")
+def _stream_latest(spark, d):
+    """The events in three batches, the second applied twice: the last row of each user, unless it takes the user away."""
+    ingest = Ingest(_lake(spark), "events")
+    rows = _table(spark, d, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "error", "tombstone").otherwise("row").alias("kind"))
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        ingest.apply(rows.where(part == batch), batch + 1)
+    return ingest.state(spark, ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
 @_register("source_diff", """SELECT source AS repo, doc_id, CASE WHEN doc_id % 50 = 0 THEN 'removed' WHEN doc_id % 50 = 1 THEN 'added' ELSE 'changed' END AS change
 FROM documents WHERE doc_id % 50 IN (0, 1, 2)""")
 def _source_diff(spark, d):

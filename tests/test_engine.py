@@ -105,6 +105,18 @@ def test_dense_search(spark):
         dense.check_budget(10**6, 768, 10, 8, 1000)
 
 
+def test_trace_puts_the_files_of_frames_first(spark, engine):
+    vectors = spark.createDataFrame([(i, [1.0, i / 10], "r", p) for i, p in ((1, "a/needle.py"), (3, "b/y.go"), (4, "b/z.go"), (5, "c/n.go"))], "candidate_id long, vector array<double>, repo string, path string")
+    named = vectors.withColumn("repo", F.substring("path", 1, 1)).withColumns({"start_line": F.lit(1), "end_line": F.lit(1), "lang": F.lit("go"), "corpus": F.lit("c")})
+    traced = Engine(Snapshot(chunks=engine.s.chunks, embeddings=named, model_id="two"), NOW, embed=lambda _: [1.0, 0.1], model_id="two")
+    plain = [r["id"] for r in traced.hybrid("needle OR thing", [1.0, 0.1], 10, by_file=True).collect()]
+    got = [r["id"] for r in traced.test_trace("--- FAIL: needle thing\n  c/n.go:12\n  b/z.go:7", 10).collect()]
+    assert got[:2] == ["c\0c/n.go", "b\0b/z.go"] and sorted(got) == sorted(plain) and plain[:2] != got[:2]
+    assert [r["candidate_id"] for r in traced.semantic("text", 2).collect()] == [1, 3]
+    with pytest.raises(QueryError):
+        Engine(traced.s, NOW, model_id="other").semantic("text", 2)
+
+
 def test_history_walk(spark):
     chain = [(str(i), [str(i - 1)] if i else [], i) for i in range(40)] + [("m", ["39", "s"], 50), ("s", ["3"], 20), ("other", [], 5)]
     commits = spark.createDataFrame(chain, "sha string, parents array<string>, committer_time_ms long")
