@@ -630,6 +630,8 @@ def _stream_latest(spark, d):
     part = F.pmod(F.xxhash64("event_id"), F.lit(3))
     for batch in (0, 1, 1, 2):
         ingest.apply(rows.where(part == batch), batch + 1)
+        if batch == 1:
+            ingest.compact(spark, ["user_id"], "event_id")
     return ingest.state(spark, ["user_id"], "event_id").select("user_id", "event_id", "event_type")
 
 

@@ -14,7 +14,8 @@ from sparkseek.operators.history import reachable
 from sparkseek.plans.errors import QueryError
 from sparkseek.sources.catalog import Catalog
 from sparkseek.sources.snapshot import Snapshot
-from sparkseek.streaming.ingest import Ingest
+from sparkseek.sources.chunkers import chunk_ids
+from sparkseek.streaming.ingest import Ingest, freshness
 
 NOW = 1_706_745_600_000
 
@@ -274,3 +275,31 @@ def test_stream_batches_apply_once(spark, tmp_path):
     assert [(r["id"], r["v"]) for r in ingest.state(spark, ["id"], "at").select("id", "v").collect()] == [(1, "a2")]
     again = spark.createDataFrame(rows, schema)
     assert ingest.apply(again, 9) and not ingest.apply(again, 9)
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    ingest = Ingest(Catalog(spark, f"file://{tmp_path}/lake"), "s")
+    schema = "id long, v string, at long, kind string"
+    batches = [[(1, "a", 1, "row"), (2, "b", 1, "row")], [(2, "", 3, "tombstone"), (3, "c", 3, "row")], [(2, "late", 2, "row"), (1, "a2", 4, "row")]]
+    state = lambda: sorted((r["id"], r["v"]) for r in ingest.state(spark, ["id"], "at").collect())
+    for n, rows in enumerate(batches[:2], 1):
+        assert ingest.apply(spark.createDataFrame(rows, schema), n)
+    assert state() == [(1, "a"), (3, "c")] and ingest.compact(spark, ["id"], "at") == 2 and state() == [(1, "a"), (3, "c")]
+    assert ingest.apply(spark.createDataFrame(batches[2], schema), 3) and state() == [(1, "a2"), (3, "c")]
+    assert not ingest.apply(spark.createDataFrame(batches[0], schema), 1)  # a replay of what was compacted
+    assert ingest.compact(spark, ["id"], "at") == 3 == ingest.compact(spark, ["id"], "at") and state() == [(1, "a2"), (3, "c")]
+    with pytest.raises(QueryError):
+        ingest.apply(spark.createDataFrame(batches[0], schema), 2)
+    with pytest.raises(QueryError):
+        ingest.apply(spark.createDataFrame(batches[0], schema), 9, parent=1)
+
+
+def test_freshness_contributions_and_chunk_ids(spark):
+    rows = spark.createDataFrame([(i, 0, i) for i in range(1, 101)], "id long, staged long, seen long")
+    assert freshness(rows, "staged", "seen").first().asDict() == {"p50": 50, "p95": 95, "p99": 99}
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "owner string, x int")
+    fresh, affected = old.where("owner = 'a'").withColumn("x", F.lit(9)), old.where("owner <> 'c'").select("owner")
+    assert sorted(map(tuple, graph.delta_applied(old, affected, fresh).collect())) == [("a", 9), ("c", 3)]
+    parts = spark.createDataFrame([("r", "p", 0, "x"), ("r", "p", 1, "x"), ("r", "q", 0, "x")], "repo string, path string, ord int, text string")
+    one, two = (sorted(r["candidate_id"] for r in chunk_ids(x).collect()) for x in (parts, parts.repartition(3)))
+    assert one == two and len(set(one)) == 3
