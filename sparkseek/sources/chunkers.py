@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +62,55 @@ def cut_blocks(text: str, size: int) -> list[tuple[int, int]]:
     return out
 
 
+def _line_ends(raw: bytes) -> list[int]:
+    return [m.end() for m in re.finditer(rb"\r\n|\r|\n", raw)]
+
+
+def byte_windows(text: str, size: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """Byte spans of windows that begin every ``size - overlap`` bytes (at the next whole character) and reach to the end of
+    the line in which ``size`` bytes end (at the last whole character). The window that reaches the text's end is the last."""
+    if not 0 <= overlap < size:
+        raise ValueError("an overlap is smaller than the window")
+    raw = text.encode("utf-8", "surrogatepass")
+    n, ends = len(raw), _line_ends(raw)
+
+    def inside(at: int) -> bool:
+        return at < n and raw[at] & 0xC0 == 0x80
+
+    out, start = [], 0
+    while start < n:
+        reach = min(start + size, n)
+        while reach > start and inside(reach):
+            reach -= 1
+        line = bisect_right(ends, min(reach, n - 1))
+        end = ends[line] if line < len(ends) else n
+        out.append((start, end))
+        if end >= n:
+            break
+        start += size - overlap
+        while inside(start):
+            start += 1
+    return out
+
+
+def line_windows(files: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """``byte_windows`` of each file, with bytes, lines and text."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                raw = (r.text or "").encode("utf-8", "surrogatepass")
+                ends = _line_ends(raw)
+                for i, (s, e) in enumerate(byte_windows(r.text or "", size, overlap)):
+                    rows.append((r.repo, r.path, r.lang, i, s, e, raw[s:e].decode("utf-8", "replace"), bisect_right(ends, s) + 1, bisect_right(ends, e - 1) + 1))
+            yield pd.DataFrame(rows, columns=["repo", "path", "lang", "ord", "start_byte", "end_byte", "text", "start_line", "end_line"])
+
+    return files.select("repo", "path", "lang", "text").mapInPandas(
+        run, "repo string, path string, lang string, ord int, start_byte int, end_byte int, text string, start_line int, end_line int"
+    )
+
+
 def cut(files: DataFrame, size: int, how: str = "lines") -> DataFrame:
     """Line-aligned or block-aligned chunks, an Arrow batch of files at a time."""
     cutter = {"lines": cut_lines, "blocks": cut_blocks}[how]

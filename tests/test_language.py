@@ -1,5 +1,6 @@
 """Lexer, parser, normal form, translation, time references and patterns: plain Python."""
 
+import re
 import string
 
 import pytest
@@ -16,7 +17,7 @@ from sparkseek.plans.ast import All, Any, Empty, Keyword, Not, Phrase, Predicate
 from sparkseek.plans.errors import QueryError
 from sparkseek.plans.parser import parse
 from sparkseek.plans.translate import CodeSearch, from_web_syntax
-from sparkseek.sources.chunkers import cut_lines
+from sparkseek.sources.chunkers import byte_windows, cut_lines
 
 
 def refused(code, f, *args):
@@ -155,3 +156,18 @@ def test_line_chunks_cover_the_text():
     text = "ab\n" * 40 + "x" * 50
     parts = cut_lines(text, 20)
     assert "".join(text[a:b] for a, b in parts) == text
+
+
+@given(st.text(alphabet="ab é漢\n\r", max_size=60), st.integers(1, 9), st.integers(0, 8))
+def test_byte_windows(text, size, overlap):
+    if overlap >= size:
+        return
+    raw = text.encode()
+    spans = byte_windows(text, size, overlap)
+    assert not raw and not spans or spans[0][0] == 0 and spans[-1][1] == len(raw)
+    lines = [len(x.encode()) for x in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", text)]
+    ends = {sum(lines[: k + 1]) for k in range(len(lines))}
+    for k, (s, e) in enumerate(spans):
+        raw[s:e].decode()  # whole characters
+        assert s < e and e in ends and (e >= min(len(raw), s + size - 3))
+        assert k == 0 or s <= spans[k - 1][1] and spans[k - 1][0] < s <= spans[k - 1][0] + size - overlap + 3
