@@ -96,6 +96,11 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def wide_print(hashes: np.ndarray, words: int) -> list[int]:
+    """The SimHash of ``64 * words`` bits of a set of shingles, 64 bits at a time."""
+    return [_pack(2 * _bit_counts(_mixed(hashes, k)) > len(hashes)) for k in range(words)]
+
+
 def _texts(column: pa.Array) -> Iterator[bytes]:
     for x in column.cast(pa.large_binary()):
         yield (x.as_buffer().to_pybytes() if x.is_valid else b"")
@@ -250,6 +255,12 @@ def band_keys(hashes: Iterator[np.ndarray]) -> np.ndarray:
     return _mixed(key + np.arange(BANDS, dtype=np.uint64), 1)
 
 
+#: The SimHash of a set of shingles has so many words of 64 bits, and links at so many differing bits or fewer.
+#: Sets alike by 0.8 or more differ in a bit with a probability of 0.1875 at most (four shingles of
+#: five) and exceed the radius with one of 1.0e-9 at most; two unrelated texts stay within it with one of 3.2e-7.
+PRINT_WORDS, PRINT_RADIUS = 4, 88
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """``nodes(node, keys)`` to ``(node, root)``: what bands join, directly or over others; lone nodes are left out."""
     keyed = nodes.select("node", F.explode("keys").alias("k"))
@@ -291,95 +302,111 @@ def similar_pairs(sets: np.ndarray, ends: np.ndarray, share: tuple[int, int] = S
     return a[once], b[once]
 
 
-def _link_sets(table: pa.Table) -> pa.RecordBatch:
-    """Spanning forests of the tiles, linked by the similarity of their sets."""
-    keys = [table.column(c).to_numpy() for c in ("k", "i", "j")]
-    change = np.zeros(table.num_rows, bool)
-    change[0] = True
-    for x in keys:
-        change[1:] |= x[1:] != x[:-1]
-    starts = np.append(np.flatnonzero(change), table.num_rows)
-    lists = table.column("shingles").combine_chunks()
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    union = Union(table.num_rows)
-    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        at = int(ends[s - 1]) if s else 0
-        a, b = similar_pairs(flat[at : int(ends[e - 1])], ends[s:e] - at)
-        union.add(a + s, b + s)
-    child = np.flatnonzero(union.label != np.arange(table.num_rows))
-    node = table.column("node").combine_chunks()
-    return pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(union.label[child]))], ["a", "b"])
-
-
-def _similar(met: DataFrame, tile: int = TILE, tile_shingles: int = _TILE_SHINGLES) -> DataFrame:
-    """``met(node, root, n, shingles)`` to ``edges(a, b)``: forests of the exact links among what has the same root."""
+def _set_linker(radius: int):
+    """Spanning forests of the tiles: fingerprints within the radius on bit planes, then the similarity of the sets."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        keys = [table.column(c).to_numpy() for c in ("k", "i", "j")]
+        change = np.zeros(table.num_rows, bool)
+        change[0] = True
+        for x in keys:
+            change[1:] |= x[1:] != x[:-1]
+        sizes = np.diff(np.append(np.flatnonzero(change), table.num_rows))
+        prints = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        close = link_groups(prints.reshape(table.num_rows, -1), sizes, radius)
+        order = np.argsort(close, kind="stable")
+        order = order[np.bincount(close, minlength=table.num_rows)[close[order]] > 1]
+        bounds = np.flatnonzero(np.diff(close[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
+        union = Union(table.num_rows)
+        lists = table.column("shingles").combine_chunks()
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows = order[s:e]
+            own = lists.take(pa.array(rows))
+            ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            a, b = similar_pairs(own.flatten().to_numpy(zero_copy_only=False), ends)
+            union.add(rows[a], rows[b])
+        child = np.flatnonzero(union.label != np.arange(table.num_rows))
+        node = table.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(union.label[child]))], ["a", "b"])
+
+    return _by_tile(flush, _GATHER_SETS)
+
+
+def _similar(met: DataFrame, radius: int = PRINT_RADIUS, tile: int = TILE, tile_shingles: int = _TILE_SHINGLES) -> DataFrame:
+    """``met(node, root, n, fp, shingles)`` to ``edges(a, b)``: forests of the exact links among what has the same root."""
     kind = met.schema["node"].dataType.simpleString()
     sums = met.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"))
     tiles = F.ceil(F.greatest(F.col("rows") / F.lit(tile), F.col("all") / F.lit(tile_shingles), F.lit(1))).cast("int")
     placed = (
         met.join(sums, "root")
-        .select(F.xxhash64("root").alias("k"), "node", "shingles", tiles.alias("t"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("p"))
-        .select("k", "node", "shingles", "p", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("q"))
-        .select("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "shingles")
+        .select(F.xxhash64("root").alias("k"), "node", "fp", "shingles", tiles.alias("t"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("p"))
+        .select("k", "node", "fp", "shingles", "p", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("q"))
+        .select("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "fp", "shingles")
     )
     dealt = placed.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return arrow_map(dealt, _by_tile(_link_sets, _GATHER_SETS), f"a {kind}, b {kind}")
+    return arrow_map(dealt, _set_linker(radius), f"a {kind}, b {kind}")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def near_duplicate_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = PRINT_RADIUS
+) -> DataFrame:
     """``(doc_id, print, group_id, group_print)`` at a five-word-shingle similarity of 0.8 or more.
 
     A 64-bit fingerprint at radius 3 only finds copies far closer than that, so
-    candidates are what MinHash bands of the shingles join, by the same rule at every
-    size, and the Jaccard similarity of the whole sets of shingles decides on every
-    pair of what is joined. ``group_id`` is the smallest id of the component of
-    links. A row is named by its id and the ``print`` of its text, and so is the
-    first of its group: ids may clash. Nothing is capped.
+    each set of shingles has a SimHash of 256 bits. No bands of it are pigeonholes at
+    ``radius``: buckets are what MinHash bands join, by the same rule at every size.
+    In these the fingerprints are compared on bit planes, in tiles, and the Jaccard
+    similarity of the whole sets of shingles decides on every pair of what they link.
+    ``group_id`` is the smallest id of the component of links. A row is named by its
+    id and the ``print`` of its text, and so is the first of its group: ids may clash.
+    Nothing is capped.
     """
 
     def hashes(text: bytes) -> np.ndarray:
         slabs = [np.unique(x) for x in shingle_hashes(text, shingle)]
         return np.unique(np.concatenate(slabs)) if slabs else np.zeros(0, np.uint64)
 
+    def lists(rows: list, width: int) -> pa.Array:
+        flat = np.array(rows, np.uint64).reshape(len(rows), width).view(np.int64)
+        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, width, dtype=np.int32), flat.ravel())
+
     def run(batches):
         import xxhash
 
         for batch in batches:
-            keys, names, sizes = [], [], []
+            keys, names, sizes, prints = [], [], [], []
             for t in _texts(batch.column(2)):
                 own = hashes(t)
                 keys.append(band_keys([own]))
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-            flat = np.array(keys, np.uint64).reshape(len(keys), BANDS).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, BANDS, dtype=np.int32), flat.ravel())
+                prints.append(wide_print(own, PRINT_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists],
-                ["doc_id", "print", "node", "n", "keys"],
+                [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists(keys, BANDS), lists(prints, PRINT_WORDS)],
+                ["doc_id", "print", "node", "n", "keys", "fp"],
             )
 
     def sets(batches):
         for batch in batches:
-            own = [hashes(t) for t in _texts(batch.column(3))]
+            own = [hashes(t) for t in _texts(batch.column(4))]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(ends, flat)], ["node", "root", "n", "shingles"]
+                [*batch.columns[:4], pa.ListArray.from_arrays(ends, flat)], ["node", "root", "n", "fp", "shingles"]
             )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_print(text_col).alias("print"), text.alias("text"))
-    rows = checkpointed(arrow_map(narrow, run, "doc_id long, print binary, node binary, n long, keys array<long>"))
+    rows = checkpointed(arrow_map(narrow, run, "doc_id long, print binary, node binary, n long, keys array<long>, fp array<long>"))
     nodes = rows.groupBy("node").agg(
-        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "print")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "print")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")
     )
     nodes = checkpointed(nodes)
-    met = nodes.select("node", "least.print", "n").join(_candidates(nodes), "node")
+    met = nodes.select("node", "least.print", "n", "fp").join(_candidates(nodes), "node")
     texts = narrow.groupBy("print").agg(F.first("text").alias("text"))
-    met = met.join(texts, "print").select("node", "root", "n", "text")
-    met = checkpointed(arrow_map(met, sets, "node binary, root binary, n long, shingles array<long>"))
-    roots = components(_similar(met))
+    met = met.join(texts, "print").select("node", "root", "n", "fp", "text")
+    met = checkpointed(arrow_map(met, sets, "node binary, root binary, n long, fp array<long>, shingles array<long>"))
+    roots = components(_similar(met, radius))
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min("least").alias("first"))
     named = placed.join(first, "root").select("node", F.col("first.doc_id").alias("group_id"), F.col("first.print").alias("group_print"))

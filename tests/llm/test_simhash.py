@@ -7,7 +7,7 @@ import xxhash
 
 from sparkseek.llm.bitslice import link_groups
 from sparkseek.llm.components import components
-from sparkseek.llm.simhash import drop_near_duplicates, near_duplicate_groups, similar_pairs, simhash_groups
+from sparkseek.llm.simhash import PRINT_RADIUS, PRINT_WORDS, drop_near_duplicates, near_duplicate_groups, similar_pairs, simhash_groups, wide_print
 
 
 def brute_print(text, shingle=3):
@@ -112,6 +112,49 @@ def test_links_are_exact(docs):
     assert {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(docs(rows)).collect()} == want
 
 
+def brute_wide_print(text):
+    words = text.split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(len(words) - 4)}
+    out = 0
+    for k, add in enumerate((0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+        mixed = []
+        for x in hashes:
+            if k:
+                x ^= add
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                x ^= x >> 31
+            mixed.append(x)
+        out |= sum(1 << 64 * k + b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+    return out
+
+
+def test_near_duplicates_are_linked_by_fingerprints(docs):
+    """At a small radius only those copies are found whose SimHash is within it, at the default one all."""
+    rng = random.Random(11)
+    rows, far = [], {}
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        changed = list(words)
+        changed[20 + rng.randrange(160)] = "changed"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(changed))]
+        far[i] = (brute_wide_print(rows[-2][1]) ^ brute_wide_print(rows[-1][1])).bit_count()
+    radius = sorted(far.values())[30]
+    assert 10 <= sum(x <= radius for x in far.values()) <= 50
+    got = {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(docs(rows), radius=radius).collect()}
+    assert got == {i: i % 100 if far[i % 100] <= radius else i for i, _ in rows}
+    assert {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(docs(rows)).collect()} == {i: i % 100 for i, _ in rows}
+
+
+def test_radius_reaches_all_sets_alike_by_the_least_share():
+    rng = np.random.default_rng(12)
+    for shared, a, b in [(4, 0, 1), (5, 0, 1), (8, 1, 1), (12, 1, 2), (12, 0, 3), (20, 2, 3), (100, 12, 13), (400, 0, 100), (400, 50, 50)]:
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, shared + a + b).astype(np.uint64) << np.uint64(1) | rng.integers(0, 2, shared + a + b).astype(np.uint64)
+            one, other = wide_print(x[: shared + a], PRINT_WORDS), wide_print(np.concatenate([x[:shared], x[shared + a :]]), PRINT_WORDS)
+            assert sum((p ^ q).bit_count() for p, q in zip(one, other, strict=True)) <= PRINT_RADIUS
+
+
 def test_similar_pairs_agree_with_sets():
     rng = random.Random(10)
     sets = [set(rng.sample(range(6000), 3000)), {1, 2, 3, 4}, {1, 2, 3, 4, 5}, {2, 3, 4, 5}, set(), set()]
