@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES as BATCH_BYTES
+from ..session import arrow_map as arrow_map
 from ..session import checkpointed as checkpointed
 
 #: A word is a maximal run of bytes other than space and the ASCII controls 9 to 13.
@@ -16,8 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
 #: Largest piece of one text that is split into words at a time.
 SLAB = 1 << 22
-#: Bytes of a batch of rows that is sent to Python; one longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,17 +47,6 @@ def word_slabs(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of some ``BATCH_BYTES`` each.
-
-    By default a batch has 10,000 rows; of long texts that is hundreds of MB, held by
-    the JVM outside its heap and again by the Python worker. The session setting
-    holds when the plan runs, so it is left set.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
-
-
 def hash_sample(df: DataFrame, key: str, limit: int, salt: int = 0) -> DataFrame:
     """At most ``limit`` rows of ``df``, those of the smallest hash of ``key``; reruns agree.
 

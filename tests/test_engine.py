@@ -1,6 +1,7 @@
 """Routes on small frames: what matches, what scores, what is refused."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,6 +13,7 @@ from sparkseek.functions.text import fold, has_phrase, phrase_count, tokens
 from sparkseek.operators import dense, fusion, graph, structural
 from sparkseek.operators.history import reachable
 from sparkseek.plans.errors import QueryError
+from sparkseek.queries import QUERIES
 from sparkseek.sources.catalog import Catalog
 from sparkseek.sources.snapshot import Snapshot
 from sparkseek.sources.chunkers import chunk_ids
@@ -303,3 +305,24 @@ def test_freshness_contributions_and_chunk_ids(spark):
     parts = spark.createDataFrame([("r", "p", 0, "x"), ("r", "p", 1, "x"), ("r", "q", 0, "x")], "repo string, path string, ord int, text string")
     one, two = (sorted(r["candidate_id"] for r in chunk_ids(x).collect()) for x in (parts, parts.repartition(3)))
     assert one == two and len(set(one)) == 3
+
+
+def test_nearest_pairs_are_the_ranked_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    usual = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(300)]
+    odd = [None, [0.0] * 5, [1.0, None, 0.0, 0.0, 0.0], [math.nan] * 5, [1.0, 2.0], [1e-200] * 5, [1e200] * 5]
+    vectors = usual + usual[:40] + [[2 * x for x in usual[0]]] * 30 + odd
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>").withColumn("regions", F.array(F.col("id") % 7, F.col("id") % 4))
+    queries = rows.where("id % 20 = 0 or id > 360").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.array(F.col("id") % 3, F.lit(5).cast("long")).alias("regions"))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 9)
+    for asked, stored in ((queries.drop("regions"), rows.drop("regions")), (queries, rows)):
+        pairs = asked.withColumnRenamed("regions", "probed").crossJoin(stored)
+        pairs = pairs.where(F.arrays_overlap("probed", "regions")) if "regions" in asked.columns else pairs
+        want = {tuple(map(str, r)) for r in dense.ranked_pairs(pairs, 6, "id").select("query_id", "id", "score", "rank").collect()}
+        got = dense.nearest_pairs(asked, stored, 6, "id")
+        assert {tuple(map(str, r)) for r in got.select("query_id", "id", "score", "rank").collect()} == want
+
+
+def test_dense_recall_stores_no_pairs(spark, small):
+    plan = QUERIES["dense_regions_recall"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner" not in plan
