@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.engine import Constraints, Engine
 from sparkseek.functions.text import fold, has_phrase, phrase_count, tokens
-from sparkseek.operators import dense, fusion, graph, structural
+from sparkseek.operators import dense, fusion, graph, positions, structural
 from sparkseek.operators.history import reachable
 from sparkseek.plans.errors import QueryError
 from sparkseek.queries import QUERIES
@@ -326,3 +326,14 @@ def test_nearest_pairs_are_the_ranked_pairs(spark, monkeypatch):
 def test_dense_recall_stores_no_pairs(spark, small):
     plan = QUERIES["dense_regions_recall"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Join Inner" not in plan
+
+
+def test_overlaps_of_one_path_are_cut_into_tiles(spark, monkeypatch):
+    spans = spark.createDataFrame([("p", i, i * 7 % 200, i * 7 % 200 + i % 90) for i in range(60)] + [("q", 99, 5, 5)], "path string, symbol_id int, s int, e int")
+    pieces = spark.createDataFrame([("p", i, i * 3 % 220, i * 3 % 220 + i % 130) for i in range(300)] + [("q", 1, 0, 9), ("r", 2, 0, 9), ("p", 0, 0, 0)], "path string, chunk int, start_line int, end_line int")
+    want = sorted(tuple(r) for r in spans.join(pieces, "path").where("s <= end_line and e >= start_line").collect())
+    monkeypatch.setattr(positions, "TILE_PAIRS", 500)
+    got = positions.span_overlaps(spans, pieces)
+    assert sorted(tuple(r) for r in got.select("path", "symbol_id", "s", "e", "chunk", "start_line", "end_line").collect()) == want
+    assert max(r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()) < len(want) / 4
+    assert positions.span_overlaps(spans.limit(0), pieces).count() == 0
