@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from ..functions.text import cased, has_words, query_literal, query_tokens, toke
 from ..functions.timeref import parse_history_timeref
 from ..plans.ast import All, Any, Empty, Keyword, Not, Phrase, Query, Raw, positive_leaves
 from ..plans.errors import QueryError
-from ..session import checkpointed
+from ..session import arrow_map, checkpointed
 from ..sources.snapshot import Snapshot
 from .bm25 import Scorer
 from .paging import RECENT, page
@@ -59,11 +63,140 @@ def holds_text(column: str, pattern: str, case: bool) -> Column:
 
 #: First parents are followed for at most so many doublings; a history of 2**40 commits would need more.
 DOUBLINGS = 40
+#: Commits of a bucket, which a Python worker holds at once, and shas at which links enter a bucket that the driver holds at most.
+BUCKET, MOST_ENTRIES = 250_000, 500_000
+
+
+class _Bucket:
+    """Commits next to each other in time, in memory: their shas and, for each, its parents."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        self.table = pa.Table.from_batches(rows).combine_chunks()
+        self.shas = self.table.column("sha").to_pylist()
+        lists = self.table.column("parents").chunk(0)
+        self.ends = [0, *np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+        self.links = lists.flatten().to_pylist()
+        self.place = {x: i for i, x in enumerate(self.shas)}
+
+    def parents(self, i: int) -> list[str]:
+        return self.links[self.ends[i] : self.ends[i + 1]]
+
+    def exits(self, starts: list[int]) -> list[str | None]:
+        """For each start the first commit of another bucket on its way along first parents, none if the way ends before."""
+        known: dict[int, str | None] = {}
+        for start in starts:
+            at, way, out = start, [], None
+            while at not in known:
+                known[at] = None  # also ends a circle
+                way.append(at)
+                up = self.parents(at)[:1]
+                if not up:
+                    break
+                if up[0] not in self.place:
+                    out = up[0]
+                    break
+                at = self.place[up[0]]
+            else:
+                out = known[at]
+            for i in way:
+                known[i] = out
+        return [known[i] for i in starts]
+
+    def reached(self, starts: list[int]) -> tuple[list[int], set[str]]:
+        """The starts' ancestors by ways inside this bucket, starts included, and the shas to which ways lead out."""
+        seen, out, stack = set(starts), set(), list(starts)
+        while stack:
+            for to in self.parents(stack.pop()):
+                i = self.place.get(to)
+                if i is None:
+                    out.add(to)
+                elif i not in seen:
+                    seen.add(i)
+                    stack.append(i)
+        return sorted(seen), out
+
+
+def _of_buckets(stored: DataFrame, run: Callable[[int, list[pa.RecordBatch]], pa.Table | None], schema: str, active: set[int] | None = None) -> DataFrame:
+    """``run`` on each partition as a whole; where only some are active, the others are not read."""
+
+    def whole(batches):
+        bucket = TaskContext.get().partitionId()
+        if active is None or bucket in active:
+            held = [b for b in batches if b.num_rows]
+            out = run(bucket, held) if held else None
+            if out is not None:
+                yield from out.to_batches()
+
+    return arrow_map(stored, whole, schema)
 
 
 def reachable(commits: DataFrame, anchor: str) -> DataFrame:
     """``(sha, committer_time_ms)`` of the anchor and all its ancestors.
 
+    Commits are dealt in order of time to buckets of bounded size, so that nearly all links
+    stay in one bucket and are followed in memory there. The driver holds only the shas at
+    which links enter a bucket and where the way along first parents leaves it; along these all first
+    parents are followed at once. The other parents of merges that lead to another bucket start
+    further rounds, which read only the buckets that are newly entered. A history whose
+    order of time says nothing of its links has too many such shas and is walked by jumps.
+    """
+    spark = commits.sparkSession
+    links = F.filter(F.coalesce("parents", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    each = commits.where("sha is not null").groupBy("sha").agg(
+        F.array_distinct(F.flatten(F.collect_list(links))).alias("parents"), F.collect_list(F.struct("committer_time_ms")).alias("times"), F.min("committer_time_ms").alias("first")
+    )
+    buckets = max(1, -(-commits.count() // BUCKET))
+    stored = checkpointed(each.repartitionByRange(buckets, "first", "sha").select("sha", "parents", "times"))
+
+    def entered(_, rows):
+        b = _Bucket(rows)
+        return pa.table({"sha": pa.array(sorted({x for x in b.links if x not in b.place}), pa.string())})
+
+    light = stored.select("sha", "parents")
+    targets = _of_buckets(light, entered, "sha string").distinct().limit(MOST_ENTRIES + 1).toArrow().column("sha").to_pylist()
+    if len(targets) > MOST_ENTRIES:
+        return _by_jumps(commits, anchor)
+    wanted = spark.sparkContext.broadcast({*targets, anchor})
+
+    def led(bucket, rows):
+        b = _Bucket(rows)
+        starts = [i for i, x in enumerate(b.shas) if x in wanted.value]
+        return pa.table({"sha": pa.array([b.shas[i] for i in starts], pa.string()), "bucket": pa.array([bucket] * len(starts), pa.int32()), "to": pa.array(b.exits(starts), pa.string())})
+
+    places = _of_buckets(light, led, "sha string, bucket int, to string").toArrow()  # a row for each target at most
+    entries = {s: (b, to) for s, b, to in zip(*(places.column(c).to_pylist() for c in ("sha", "bucket", "to")), strict=True)}
+    reached: dict[int, set[str]] = {}
+    new = [anchor]
+    while new:
+        active = set()
+        for sha in new:
+            while sha in entries and sha not in reached.setdefault(entries[sha][0], set()):
+                reached[entries[sha][0]].add(sha)
+                active.add(entries[sha][0])
+                sha = entries[sha][1]
+        sent = spark.sparkContext.broadcast({b: reached[b] for b in active})
+
+        def left(bucket, rows, sent=sent):
+            b = _Bucket(rows)
+            out = b.reached([b.place[x] for x in sent.value[bucket]])[1]
+            return pa.table({"sha": pa.array(sorted(out), pa.string())})
+
+        found = _of_buckets(light, left, "sha string", active).distinct().toArrow().column("sha").to_pylist() if active else []  # of the targets
+        new = [x for x in found if x in entries and x not in reached.get(entries[x][0], ())]
+    everything = spark.sparkContext.broadcast(reached)
+
+    def taken(bucket, rows):
+        b = _Bucket(rows)
+        rows = b.table.take(pa.array(b.reached([b.place[x] for x in everything.value[bucket]])[0], pa.int64()))
+        return rows.select(["sha", "times"])
+
+    schema = f"sha string, times {stored.schema['times'].dataType.simpleString()}"
+    return _of_buckets(stored, taken, schema, {b for b, x in reached.items() if x}).select("sha", F.explode("times").alias("t")).select("sha", F.col("t.committer_time_ms").alias("committer_time_ms"))
+
+
+def _by_jumps(commits: DataFrame, anchor: str) -> DataFrame:
+    """``reachable`` for histories in no order of time.
+
     First parents are a function, so jumps along them can be doubled and every table of
     jumps has a row for each commit at most, however histories merge; a set is closed
     under first parents in as many joins as the logarithm of the depth. The other parents

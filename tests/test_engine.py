@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.engine import Constraints, Engine
 from sparkseek.functions.text import fold, has_phrase, phrase_count, tokens
-from sparkseek.operators import dense, fusion, graph, positions, structural
+from sparkseek.operators import dense, fusion, graph, history, positions, structural
 from sparkseek.operators.history import reachable
 from sparkseek.plans.errors import QueryError
 from sparkseek.queries import QUERIES
@@ -132,6 +132,28 @@ def test_history_walk(spark):
     assert {r["sha"] for r in reachable(commits, "b20").collect()} == {"b20", *(f"{x}{i}" for i in range(20) for x in "ab")}
 
 
+def test_history_walk_over_buckets(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"c{i}", [f"c{rng.randrange(max(0, i - 30), i)}" for _ in range(rng.choice((1, 1, 1, 2, 3)))] if i % 97 else [], i // 3 if i % 50 else None) for i in range(600)]
+    rows += [("c400", ["c20", None, "gone"], 7), ("c401", None, 9), (None, ["c1"], 1), ("c10", ["c599"], 3)]  # a sha that is stored twice, a circle
+    parents = {}
+    for sha, up, _ in rows:
+        parents.setdefault(sha, set()).update(up or ())
+    commits = spark.createDataFrame(rows, "sha string, parents array<string>, committer_time_ms long")
+    monkeypatch.setattr(history, "BUCKET", 40)
+    for entries, anchors in ((10_000, ("c599", "c450", "c97", "gone")), (3, ("c450",))):
+        monkeypatch.setattr(history, "MOST_ENTRIES", entries)
+        for anchor in anchors:
+            seen, stack = set(), [anchor]
+            while stack:
+                x = stack.pop()
+                if x in parents and x is not None and x not in seen:
+                    seen.add(x)
+                    stack += parents[x]
+            want = sorted((s, str(t)) for s, _, t in rows if s in seen)
+            assert sorted((r["sha"], str(r["committer_time_ms"])) for r in reachable(commits, anchor).collect()) == want
+
+
 def entries_of(spark, rows):
     return spark.createDataFrame(rows, "identity string, owner_path string, score_millis long, tokens long, search_text string")
 
