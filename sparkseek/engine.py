@@ -242,11 +242,9 @@ class Engine:
         out = {"query_hash": query_hash(q), "domains": self.s.domains(), "stages": ["parse", "normalize", "plan", "filter", "predicate", "score"]}
         if known.isEmpty():
             return out | {"outcome": "NotIndexed"}
-        compiler = Compiler(self.s, q, self.now_ms)
-        c = compiler.compile()
-        lone = isinstance(q.expr, Keyword)
         named = [x for x in positive_leaves(q.expr) if not isinstance(x, Predicate)]
-        parts = [compiler.points(x, lone).alias(f"part{i}") for i, x in enumerate(named)]
+        c = Compiler(self.s, q, self.now_ms).compile(tuple(named))
+        parts = [x.alias(f"part{i}") for i, x in enumerate(c.parts)]
         row = c.rows.where(F.col("candidate_id") == candidate).select(c.match.alias("m"), c.score.alias("score"), *parts).first()
         if row is None or not row["m"]:
             return out | {"outcome": "NotMatched"}

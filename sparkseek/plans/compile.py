@@ -6,6 +6,7 @@ OR or NOT become an existence flag by a left join on distinct keys. Filters are
 conditions; statistics are those of the whole population. Where a generation has
 postings and totals, words and phrases become conditions on positions that are
 joined from the postings of the query's terms; else on the tokens of the text. Both give the same rows.
+What is read from the text is computed beside the scan, so that no join carries texts.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class Compiled:
     rows: DataFrame
     match: Column
     score: Column
-    scorers: dict = field(default_factory=dict)
+    parts: list[Column] = field(default_factory=list)
 
     def result(self) -> DataFrame:
         return self.rows.where(self.match).withColumn("score", self.score)
@@ -49,9 +50,15 @@ class Compiler:
         if snapshot.postings is not None and snapshot.totals is not None and not self.case:
             self.index = self.body = IndexScorer(snapshot.postings, snapshot.totals)
         self.flags: list[tuple[str, DataFrame, list[str]]] = []
+        self.kept: dict[tuple, tuple[str, Column]] = {}
 
     # leaves
 
+    def keep(self, what: tuple, made: Column) -> Column:
+        """A column that is computed before all joins; the same one for the same leaf."""
+        name, _ = self.kept.setdefault(what, (f"__kept{len(self.kept)}", made))
+        return F.col(name)
+
     def regexp(self, leaf):
         if self.q.options.pattern_type == "regexp" and isinstance(leaf, (Keyword, Raw)):
             return Regex(check_text_regex(leaf.text))
@@ -101,9 +108,9 @@ class Compiler:
         if self.index is not None and isinstance(self.regexp(e), (Keyword, Phrase)):
             got = self.index.match(query_tokens(e.text, self.case))
         else:
-            got = self.leaf_match(e)
+            got = self.keep(("match", e), self.leaf_match(e))
         if lone and isinstance(self.regexp(e), Keyword):
-            got = got | has_words(F.col("__path"), F.col("__path_tokens"), query_tokens(e.text, self.case))
+            got = got | self.keep(("path", e), has_words(F.col("__path"), F.col("__path_tokens"), query_tokens(e.text, self.case)))
         return got
 
     def points(self, e, lone: bool = False) -> Column:
@@ -117,7 +124,9 @@ class Compiler:
         if isinstance(self.regexp(e), Keyword):
             words = query_tokens(e.text, self.case)
             own = self.body.score(words)
-            return own + self.paths.score(words) if lone else own
+            if self.index is None:  # only texts with the words are cut into tokens
+                own = self.keep(("score", e), F.when(self.leaf_match(e), own).otherwise(F.lit(0.0)))
+            return own + self.keep(("path score", e), self.paths.score(words)) if lone else own
         return F.when(self.condition(e), F.lit(1.0)).otherwise(F.lit(0.0))
 
     # predicates
@@ -221,32 +230,47 @@ class Compiler:
                 raise QueryError("UNSUPPORTED_COMBO", f"type:{f.value} is not answered by the lexical route")
         return rows, repos
 
-    def compile(self) -> Compiled:
+    def compile(self, named: tuple = ()) -> Compiled:
+        """The plan of the query; ``parts`` are the points of the ``named`` leaves."""
         e, rows = self.q.expr, self.base
         conditions, repo_conditions = self.filters()
+        for c in conditions:
+            rows = rows.where(c)
+        joins = []
         if repo_conditions:
-            gated = self.s.need("repos").where(_fold(repo_conditions, Column.__and__)).select("repo").distinct()
-            rows = rows.join(gated, "repo", "left_semi")
+            joins.append((self.s.need("repos").where(_fold(repo_conditions, Column.__and__)).select("repo").distinct(), "repo", "left_semi"))
         rest = []
         for x in e.of if isinstance(e, All) else [e]:
             inner = x.of if isinstance(x, Not) else x
             if isinstance(inner, Predicate):
                 keys, on = self.key_set(inner)
-                rows = rows.join(keys, on, "left_anti" if isinstance(x, Not) else "left_semi")
+                joins.append((keys, on, "left_anti" if isinstance(x, Not) else "left_semi"))
             else:
                 rest.append(x)
         lone = len(rest) == 1 and rest[0] is e
         e = Empty() if not rest else rest[0] if len(rest) == 1 else All(tuple(rest))
         self.want(e, lone)
+        match = self.condition(e, lone)
+        score = F.lit(1.0) if self.q.options.index == "no" else self.points(e, lone)
+        parts = [self.points(x, isinstance(self.q.expr, Keyword)) for x in named]
+        # From here on rows have no text: joins on few keys, as repositories are, deal them unevenly.
+        rows = rows.select(*[c for c in self.s.chunks.columns if c != "text"], *[made.alias(name) for name, made in self.kept.values()])
+        for keys, on, how in joins:
+            rows = rows.join(keys, on, how)
         if self.index is not None:
             rows = self.index.joined(rows)
-        match = self.condition(e, lone)
         for flag, keys, on in self.flags:
             rows = rows.join(keys.withColumn(flag, F.lit(True)), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-        score = F.lit(1.0) if self.q.options.index == "no" else self.points(e, lone)
-        for c in conditions:
-            rows = rows.where(c)
-        return Compiled(rows, match, score)
+        return Compiled(rows, match, score, parts)
+
+
+def query_words(e, case: bool = False) -> list[str]:
+    """The words of all keywords and phrases of an expression, negated ones too: what an index is asked for."""
+    if isinstance(e, (All, Any)):
+        return sorted({w for x in e.of for w in query_words(x, case)})
+    if isinstance(e, Not):
+        return query_words(e.of, case)
+    return sorted(set(query_tokens(e.text, case))) if isinstance(e, (Keyword, Phrase)) else []
 
 
 def _fold(parts: list[Column], op) -> Column:

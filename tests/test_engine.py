@@ -12,6 +12,7 @@ from sparkseek.engine import Constraints, Engine
 from sparkseek.functions.text import fold, has_phrase, phrase_count, tokens
 from sparkseek.operators import dense, fusion, graph, history, positions, structural
 from sparkseek.operators.history import reachable
+from sparkseek.plans.compile import Compiler
 from sparkseek.plans.errors import QueryError
 from sparkseek.queries import QUERIES
 from sparkseek.sources.catalog import Catalog
@@ -359,3 +360,12 @@ def test_overlaps_of_one_path_are_cut_into_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("path", "symbol_id", "s", "e", "chunk", "start_line", "end_line").collect()) == want
     assert max(r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()) < len(want) / 4
     assert positions.span_overlaps(spans.limit(0), pieces).count() == 0
+
+
+@pytest.mark.parametrize("text", ["repo.has.content('needle') OR thing", "repo.has.file(path:/y/) needle", "NOT repo.has.content('needle') 'the'", "needle -haystack"])
+def test_joins_carry_no_texts(engine, text):
+    rows = Compiler(engine.s, engine.plan(text)[0], NOW).compile().rows
+    assert not {"text", "__text", "__tokens"} & set(rows.columns)
+    plan = engine.lexical(text)._jdf.queryExecution().optimizedPlan()
+    joins = [x for x in plan.toString().split("\n") if "Join" in x]
+    assert all("text" not in x for x in joins)
