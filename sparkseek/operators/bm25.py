@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, has_words, phrase_count, token_count, tokens
+from ..functions.text import TOKEN, fold, has_words, phrase_count, token_count, tokens
+from ..session import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -121,9 +122,11 @@ class IndexScorer:
 
 def totals(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """``(n, mean)``: the chunks there are and their mean length in tokens."""
-    return chunks.select(token_count(fold(F.coalesce(F.col(text_col), F.lit("")))).alias("length")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), (F.sum("length") / F.count(F.lit(1))).alias("mean")
-    )
+    return _totals(chunks.select(token_count(fold(F.coalesce(F.col(text_col), F.lit("")))).alias("length")))
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), (F.sum("length") / F.count(F.lit(1))).alias("mean"))
 
 
 def postings(chunks: DataFrame, text_col: str = "text", id_col: str = "candidate_id") -> DataFrame:
@@ -135,6 +138,33 @@ def postings(chunks: DataFrame, text_col: str = "text", id_col: str = "candidate
     )
 
 
+def index_of(chunks: DataFrame, terms: list[str], text_col: str = "text", id_col: str = "candidate_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``postings`` that have one of ``terms``, and ``totals``: of one pass over the texts, whose lengths and places are kept.
+
+    A text without the letters of any term is counted and not cut into tokens.
+    """
+    terms = list(dict.fromkeys(terms))
+    shown = fold(F.coalesce(F.col(text_col), F.lit("")))
+    rows = chunks.select(F.col(id_col).alias("candidate_id"), shown.alias("shown"))
+    near = F.lit(False)
+    for t in terms:
+        near = near | F.contains("shown", F.lit(t))
+    rows = rows.select("candidate_id", "shown", F.when(near, F.regexp_extract_all("shown", F.lit(TOKEN), F.lit(0))).alias("t"))
+    length = F.when(F.col("t").isNull(), token_count(F.col("shown"))).otherwise(F.size("t"))
+    places = F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i).isin(*terms))) if terms else F.lit(None).cast("array<int>")
+    rows = rows.select("candidate_id", length.alias("length"), "t", places.alias("places"))
+    known = F.array(*map(F.lit, terms)).cast("array<string>")
+    which = F.transform("places", lambda i: F.array_position(known, F.get("t", i)).cast("tinyint" if len(terms) < 128 else "int"))
+    cut = checkpointed(rows.select("candidate_id", "length", "places", which.alias("which")))
+    each = cut.where(F.size("places") > 0).select("candidate_id", "length", "places", "which", F.explode(F.array_distinct("which")).alias("w"))
+    own = F.transform(F.filter(F.arrays_zip("places", "which"), lambda x: x["which"] == F.col("w")), lambda x: x["places"])
+    each = each.select("candidate_id", "length", F.get(known, F.col("w") - 1).alias("term"), own.alias("positions"))
+    index = each.groupBy("term", "candidate_id").agg(
+        F.sum(F.size("positions")).alias("tf"), F.first("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+    )
+    return index, _totals(cut)
+
+
 def score_postings(index: DataFrame, lengths: DataFrame, terms: list[str], policy: Policy = Policy()) -> DataFrame:
     """``(candidate_id, score)`` of the OR of ``terms``; only the terms' postings are read.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.engine import Constraints, Engine
 from sparkseek.functions.text import fold, has_phrase, phrase_count, tokens
-from sparkseek.operators import dense, fusion, graph, history, positions, structural
+from sparkseek.operators import bm25, dense, fusion, graph, history, positions, structural
 from sparkseek.operators.history import reachable
 from sparkseek.plans.compile import Compiler
 from sparkseek.plans.errors import QueryError
@@ -369,3 +369,16 @@ def test_joins_carry_no_texts(engine, text):
     plan = engine.lexical(text)._jdf.queryExecution().optimizedPlan()
     joins = [x for x in plan.toString().split("\n") if "Join" in x]
     assert all("text" not in x for x in joins)
+
+
+def test_index_of_some_terms_is_that_part_of_the_index(spark):
+    rng = random.Random(1)
+    words = ["of", "the", "often", "Trash", "ärger", "a_b", "x" * 300]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(60)] + [None, "", "...", "the"]
+    chunks = spark.createDataFrame([(i // 2 if i > 58 else i, t) for i, t in enumerate(texts)], "candidate_id long, text string")
+    terms = ["the", "of", "trash", "ärger", "absent"]
+    index, totals = bm25.index_of(chunks, terms)
+    names = ["term", "candidate_id", "tf", "positions"]
+    rows = [sorted(map(str, x.select(*names).collect())) for x in (index, bm25.postings(chunks).where(F.col("term").isin(*terms)))]
+    assert rows[0] == rows[1] and totals.collect() == bm25.totals(chunks).collect()
+    assert bm25.index_of(chunks, [])[0].count() == 0 and bm25.index_of(chunks, [])[1].collect() == bm25.totals(chunks).collect()
