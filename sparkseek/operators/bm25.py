@@ -86,6 +86,7 @@ class IndexScorer:
     def __init__(self, index: DataFrame, totals: DataFrame, policy: Policy = Policy()):
         self.index, self.totals, self.policy = index, totals, policy
         self.terms: list[str] = []
+        self._dfs: DataFrame | None = None
 
     def want(self, words: list[str]) -> None:
         self.terms += [w for w in words if w not in self.terms]
@@ -112,7 +113,10 @@ class IndexScorer:
 
     def score(self, words: list[str]) -> Column:
         n, mean = self.totals.select("n").scalar(), self.totals.select("mean").scalar()
-        dfs = [self.index.where(F.col("term") == w).agg(F.count(F.lit(1)).cast("double").alias("df")).select("df").scalar() for w in words]
+        if self._dfs is None:  # one pass over the terms' postings, whatever their number
+            counts = [F.count(F.when(F.col("term") == t, 1)).cast("double").alias(f"df{i}") for i, t in enumerate(self.terms)]
+            self._dfs = self.index.where(F.col("term").isin(*self.terms)).agg(*counts)
+        dfs = [self._dfs.select(f"df{self.terms.index(w)}").scalar() for w in words]
         weight = idf(n, dfs[0])
         for df in dfs[1:]:
             weight = weight + idf(n, df)

@@ -382,3 +382,13 @@ def test_index_of_some_terms_is_that_part_of_the_index(spark):
     rows = [sorted(map(str, x.select(*names).collect())) for x in (index, bm25.postings(chunks).where(F.col("term").isin(*terms)))]
     assert rows[0] == rows[1] and totals.collect() == bm25.totals(chunks).collect()
     assert bm25.index_of(chunks, [])[0].count() == 0 and bm25.index_of(chunks, [])[1].collect() == bm25.totals(chunks).collect()
+
+
+def test_frequencies_of_all_words_are_one_pass(spark):
+    chunks = spark.createDataFrame([(1, "of the of the"), (2, "of it"), (3, "the end")], "candidate_id long, text string")
+    scorer = bm25.IndexScorer(bm25.postings(chunks), bm25.totals(chunks))
+    scorer.want(["of", "the"])
+    rows = scorer.joined(chunks).select("candidate_id", scorer.score(["of", "the"]).alias("score"), scorer.score(["the"]).alias("lone"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count(" AS df0") == plan.count(" AS df1") and " AS df#" not in plan
+    assert [r["candidate_id"] for r in rows.where("score > 0").collect()] == [1]
