@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from ..session import arrow_map
 
 
 def whole_file(files: DataFrame) -> DataFrame:
@@ -93,40 +98,63 @@ def byte_windows(text: str, size: int, overlap: int = 0) -> list[tuple[int, int]
     return out
 
 
+#: Characters of text in a batch that Python gives back; one longer chunk is a batch of its own.
+OUT_CHARS = 4 << 20
+
+
+def _cut_files(files: DataFrame, each: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """``each`` of a file's text, as rows ``(ord, ..., text, ...)`` after the file's repository, path and language.
+
+    A file at a time, in batches of bounded size both ways.
+    """
+
+    def run(batches):
+        names, out, size = pa.schema([(c.name, to_arrow_type(c.dataType)) for c in kinds]), [], 0
+        for batch in batches:
+            for repo, path, lang, text in zip(*(_values(c) for c in batch.columns), strict=True):
+                for row in each(text):
+                    out.append((repo, path, lang, *row))
+                    size += 100 + max(len(x) for x in row if isinstance(x, str))
+                    if size >= OUT_CHARS:
+                        yield _batch(out, names)
+                        out, size = [], 0
+        if out:
+            yield _batch(out, names)
+
+    kinds = StructType.fromDDL(schema).fields
+    return arrow_map(files.select("repo", "path", "lang", "text"), run, schema)
+
+
+def _values(column: pa.Array) -> Iterator:
+    """One value at a time, so that a batch's texts are not all copied."""
+    return (x.as_py() for x in column)
+
+
+def _batch(rows: list[tuple], names: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, c.type) for x, c in zip(zip(*rows, strict=True), names, strict=True)], schema=names)
+
+
 def line_windows(files: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """``byte_windows`` of each file, with bytes, lines and text."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                raw = (r.text or "").encode("utf-8", "surrogatepass")
-                ends = _line_ends(raw)
-                for i, (s, e) in enumerate(byte_windows(r.text or "", size, overlap)):
-                    rows.append((r.repo, r.path, r.lang, i, s, e, raw[s:e].decode("utf-8", "replace"), bisect_right(ends, s) + 1, bisect_right(ends, e - 1) + 1))
-            yield pd.DataFrame(rows, columns=["repo", "path", "lang", "ord", "start_byte", "end_byte", "text", "start_line", "end_line"])
+    def each(text):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        ends = _line_ends(raw)
+        for i, (s, e) in enumerate(byte_windows(text or "", size, overlap)):
+            yield i, s, e, raw[s:e].decode("utf-8", "replace"), bisect_right(ends, s) + 1, bisect_right(ends, e - 1) + 1
 
-    return files.select("repo", "path", "lang", "text").mapInPandas(
-        run, "repo string, path string, lang string, ord int, start_byte int, end_byte int, text string, start_line int, end_line int"
-    )
+    return _cut_files(files, each, "repo string, path string, lang string, ord int, start_byte int, end_byte int, text string, start_line int, end_line int")
 
 
 def cut(files: DataFrame, size: int, how: str = "lines") -> DataFrame:
-    """Line-aligned or block-aligned chunks, an Arrow batch of files at a time."""
+    """Line-aligned or block-aligned chunks, a file at a time."""
     cutter = {"lines": cut_lines, "blocks": cut_blocks}[how]
 
-    def run(batches):
-        for pdf in batches:
-            rows = [
-                (r.repo, r.path, r.lang, i, s, e, r.text[s:e], r.text.count("\n", 0, s) + 1, r.text.count("\n", 0, max(s, e - 1)) + 1)
-                for r in pdf.itertuples() if r.text
-                for i, (s, e) in enumerate(cutter(r.text, size))
-            ]
-            yield pd.DataFrame(rows, columns=["repo", "path", "lang", "ord", "start_char", "end_char", "text", "start_line", "end_line"])
-
-    return files.select("repo", "path", "lang", "text").mapInPandas(
-        run, "repo string, path string, lang string, ord int, start_char int, end_char int, text string, start_line int, end_line int"
-    )
+    def each(text):
+        for i, (s, e) in enumerate(cutter(text or "", size)):
+            yield i, s, e, text[s:e], text.count("\n", 0, s) + 1, text.count("\n", 0, max(s, e - 1)) + 1
+
+    return _cut_files(files, each, "repo string, path string, lang string, ord int, start_char int, end_char int, text string, start_line int, end_line int")
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from sparkseek.plans.errors import QueryError
 from sparkseek.queries import QUERIES
 from sparkseek.sources.catalog import Catalog
 from sparkseek.sources.snapshot import Snapshot
-from sparkseek.sources.chunkers import chunk_ids
+from sparkseek.sources.chunkers import byte_windows, chunk_ids, cut, line_windows
 from sparkseek.streaming.ingest import Ingest, freshness
 
 NOW = 1_706_745_600_000
@@ -392,3 +392,16 @@ def test_frequencies_of_all_words_are_one_pass(spark):
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert plan.count(" AS df0") == plan.count(" AS df1") and " AS df#" not in plan
     assert [r["candidate_id"] for r in rows.where("score > 0").collect()] == [1]
+
+
+def test_windows_in_batches_of_bounded_bytes(spark):
+    texts = ["", None, "é\r\nab\n" * 30, "x" * 70, "日本\r語\n", *(f"line {i}\n" * (i % 9) for i in range(40))]
+    files = spark.createDataFrame([("r", str(i), "en", t) for i, t in enumerate(texts)], "repo string, path string, lang string, text string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = line_windows(files, 16, 4)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    want = {(str(i), k, s, e, t.encode()[s:e].decode("utf-8", "replace")) for i, t in enumerate(texts) if t for k, (s, e) in enumerate(byte_windows(t, 16, 4))}
+    assert {tuple(r) for r in got.select("path", "ord", "start_byte", "end_byte", "text").collect()} == want
+    for how in ("lines", "blocks"):
+        rows = cut(files, 20, how).orderBy("ord").collect()
+        assert all("".join(r["text"] for r in rows if r["path"] == str(i)) == (t or "") for i, t in enumerate(texts))
